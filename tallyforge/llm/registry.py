@@ -3,7 +3,16 @@
 from __future__ import annotations
 
 from tallyforge.llm.decontaminate import op7_decontaminate
+from tallyforge.llm.langid import op10_language_id
 from tallyforge.llm.packing import op4_best_fit_packing
+from tallyforge.llm.quality import op6_quality_rules
+from tallyforge.llm.secrets import op5_secret_scan
 
-QUERIES = {"op7_decontaminate": op7_decontaminate, "op4_best_fit_packing": op4_best_fit_packing}
+QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_decontaminate": op7_decontaminate,
+    "op10_language_id": op10_language_id,
+}
 ORACLE_SQL: dict[str, str] = {}
