@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tallyforge.llm.chat import op9_chat_format
 from tallyforge.llm.decontaminate import op7_decontaminate
 from tallyforge.llm.langid import op10_language_id
 from tallyforge.llm.packing import op4_best_fit_packing
 from tallyforge.llm.quality import op6_quality_rules
 from tallyforge.llm.secrets import op5_secret_scan
+from tallyforge.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
@@ -14,5 +16,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_decontaminate": op7_decontaminate,
     "op10_language_id": op10_language_id,
+    "op9_chat_format": op9_chat_format,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
