@@ -6,11 +6,13 @@ from tallyforge.llm.chat import op9_chat_format
 from tallyforge.llm.decontaminate import op7_decontaminate
 from tallyforge.llm.langid import op10_language_id
 from tallyforge.llm.packing import op4_best_fit_packing
+from tallyforge.llm.pii import op1_pii
 from tallyforge.llm.quality import op6_quality_rules
 from tallyforge.llm.secrets import op5_secret_scan
 from tallyforge.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
