@@ -5,6 +5,7 @@ from __future__ import annotations
 from tallyforge.llm.chat import op9_chat_format
 from tallyforge.llm.decontaminate import op7_decontaminate
 from tallyforge.llm.langid import op10_language_id
+from tallyforge.llm.neardup import op3_minhash
 from tallyforge.llm.packing import op4_best_fit_packing
 from tallyforge.llm.pii import op1_pii
 from tallyforge.llm.quality import op6_quality_rules
@@ -13,6 +14,7 @@ from tallyforge.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_minhash": op3_minhash,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
