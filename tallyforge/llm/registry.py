@@ -10,10 +10,12 @@ from tallyforge.llm.packing import op4_best_fit_packing
 from tallyforge.llm.pii import op1_pii
 from tallyforge.llm.quality import op6_quality_rules
 from tallyforge.llm.secrets import op5_secret_scan
+from tallyforge.llm.substring import op2_substring_dedup
 from tallyforge.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash": op3_minhash,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
