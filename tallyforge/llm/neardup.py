@@ -251,10 +251,17 @@ def _left_apart(many: DataFrame, component: DataFrame, texts: DataFrame, block:
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the one that names it. The columns are those of ``docs``; rows of one id stay."""
-    found = near_duplicates(docs, text, id_col, width, percent)
-    dropped = found.where(F.col(quoted(id_col)) != F.col("component_id")).select(F.col(quoted(id_col)).alias("__dropped__")).distinct()
-    return docs.join(dropped, F.col(quoted(id_col)).cast("long") == F.col("__dropped__"), "left_anti")
+    """One document of each component: the one that names it. The columns are those of ``docs``; of several rows of one
+    id, one stays."""
+    found = as_table(near_duplicates(docs, text, id_col, width, percent), "found")
+    own = F.col(quoted(id_col))
+    dropped = found.where(own != F.col("component_id")).select(own.alias("__other__")).distinct()
+    kept = docs.join(dropped, own.cast("long") == F.col("__other__"), "left_anti")
+    again = found.where(own.isNotNull()).groupBy(own.alias("__other__")).count().where("count > 1").select("__other__")
+    if not again.limit(1).count():
+        return kept
+    same = own.cast("long") == F.col("__other__")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
