@@ -221,9 +221,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     dealt = near.select("h", F.lit(0).alias("b"), "node").union(many.select("h", of_block.alias("b"), "node")).union(leaders).distinct()
     dealt = as_table(dealt, "dealt")
     nodes = dealt.select(F.col("node").alias("id")).distinct()
-    # rows of one id and text are one; the texts of candidates alone are needed
-    texts = source.join(nodes, "id", "left_semi").groupBy("id", F.xxhash64("text").alias("t1"), F.crc32(F.col("text").cast("binary")).alias("t2")).agg(F.first("text").alias("text")).select(F.col("id").alias("node"), "text")
-    links = grouped(dealt.join(texts, "node").select("h", "b", "node", "text"), ["h", "b"], _verified(width, percent), LINK, WordHashes)
+    # rows of one id and text are one; the texts of candidates alone are needed. Candidates grow with the input, so the
+    # joins are shuffled at every size
+    texts = source.join(nodes.hint("merge"), "id", "left_semi").groupBy("id", F.xxhash64("text").alias("t1"), F.crc32(F.col("text").cast("binary")).alias("t2")).agg(F.first("text").alias("text")).select(F.col("id").alias("node"), "text")
+    links = grouped(dealt.hint("merge").join(texts, "node").select("h", "b", "node", "text"), ["h", "b"], _verified(width, percent), LINK, WordHashes)
     links = as_table(links, "verified")
     component = as_table(connected_components(links), "components")
     if many.limit(1).count():
@@ -247,7 +248,7 @@ def _left_apart(many: DataFrame, component: DataFrame, texts: DataFrame, block:
     others = F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)
     dealt = sided.select("h", "node", "c", "outer", own.alias("own"), F.explode(others).alias("other")).where("own < outer OR other < outer")
     dealt = dealt.select("h", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "c")
-    return grouped(dealt.join(texts, "node").select("h", "b1", "b2", "side", "node", "c", "text"), ["h", "b1", "b2"], _crossed(width, percent), LINK, WordHashes)
+    return grouped(dealt.hint("merge").join(texts, "node").select("h", "b1", "b2", "side", "node", "c", "text"), ["h", "b1", "b2"], _crossed(width, percent), LINK, WordHashes)
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
