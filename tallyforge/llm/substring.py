@@ -34,7 +34,7 @@ WINDOW = 35
 #: A perfect difference set: every difference modulo PERIOD is one of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Entries that a task gathers before it sends them, and bytes of text for each bucket of hashes.
-MOST_GATHERED, BYTES_A_BUCKET = 4_000_000, 32 << 20
+MOST_GATHERED, BYTES_A_BUCKET, LEAST_BUCKETS = 4_000_000, 32 << 20, 64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SENT = "bucket int, payload binary"
 MARKS = "key binary, places binary"
@@ -86,22 +86,26 @@ class Gatherer:
         self.clear()
 
     def _pack(self, first, second, flags, doc, place, known_doc, known_place) -> bytes:
-        used, number = np.unique(np.concatenate([doc, known_doc]), return_inverse=True)
+        used, order = np.unique(np.concatenate([doc, known_doc]), return_inverse=True)
         keys = b"".join(self.keys[d] for d in used)
-        number = number.astype(np.uint32)
-        parts = [first, second, flags.astype(np.uint8), number[: len(doc)], place, number[len(doc) :], known_place]
-        return struct.pack("<4I", len(used), len(first), len(doc), len(known_doc)) + keys + b"".join(p.tobytes() for p in parts)
+        short = len(used) < 1 << 16 and max(place.max(initial=0), known_place.max(initial=0)) < 1 << 16
+        number = "<u2" if short else "<u4"
+        second = second if second.any() else second[:0]
+        parts = [first, second, np.packbits(flags), *(p.astype(number) for p in (order[: len(doc)], place, order[len(doc) :], known_place))]
+        return struct.pack("<6I", int(short), len(used), len(first), len(second), len(doc), len(known_doc)) + keys + b"".join(p.tobytes() for p in parts)
 
 
 def _unpack(payload: bytes) -> tuple:
-    n_keys, n, once, known = struct.unpack_from("<4I", payload)
-    at = 16
-    at += 16 * n_keys
-    out = []
-    for kind, size in (("<u8", n), ("<u8", n), ("u1", n), ("<u4", once), ("<u4", once), ("<u4", known), ("<u4", known)):
+    short, n_keys, n, n_second, once, known = struct.unpack_from("<6I", payload)
+    at = 24
+    keys, at = payload[at : at + 16 * n_keys], at + 16 * n_keys
+    number, out = "<u2" if short else "<u4", []
+    for kind, size in (("<u8", n), ("<u8", n_second), ("u1", -(-n // 8)), (number, once), (number, once), (number, known), (number, known)):
         out.append(np.frombuffer(payload, kind, size, at))
         at += out[-1].nbytes
-    return payload[16 : 16 + 16 * n_keys], *out
+    out[1] = out[1] if n_second else np.zeros(n, np.uint64)
+    out[2] = np.unpackbits(out[2], count=n)
+    return keys, *out
 
 
 def _answer(payloads: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -273,9 +277,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ke
         raise ValueError(f"the window must be longer than {PERIOD} words")
     spark = docs.sparkSession
     body = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
-    key = F.unhex(F.md5(body.cast("binary")))
+    # never null, so that no join adds a filter and the exchange of texts stays one and the same
+    key = F.coalesce(F.unhex(F.md5(body.cast("binary"))), F.lit(b""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_A_BUCKET))
+    buckets = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_A_BUCKET))
     # one exchange of texts: the plan has it three times, with the same columns, so Spark uses it again
     texts = docs.select(key.alias("key"), body.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     shared = _answered(_sent(texts, buckets, _anchors(window), False))
