@@ -49,7 +49,7 @@ def flips_to_top(p: Column, bound: int) -> Column:
 
 def no_fixed_point_after_first(p: Column) -> Column:
     """Whether no item beyond the first is in its place: such decks have no predecessor under flip()."""
-    return ~F.exists(F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2))), lambda i: F.get(p, i - 1) == i)
+    return ~F.exists(F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2))), lambda i: F.coalesce(F.get(p, i - 1) == i, F.lit(False)))
 
 
 # Partitions ------------------------------------------------------------------------------------------------------------

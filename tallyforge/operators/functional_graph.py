@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from tallyforge.operators.loops import cut
 
 
-def jumps(graph: DataFrame, steps: int) -> list[DataFrame]:
-    """(x, y) tables of f, f**2, f**4 .. up to 2**(steps-1)."""
+def jumps(graph: DataFrame) -> list[DataFrame]:
+    """(x, y) tables of f, f**2, f**4 .. up to the first whose image shrinks no further: it has the periodic keys only."""
     out = [cut(graph.select(F.col("key").alias("x"), F.col("nxt").alias("y")))]
-    for _ in range(steps - 1):
+    image = out[0].select("y").distinct().count()
+    while True:
         f = out[-1]
         out.append(cut(f.join(f.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))))
-    return out
+        smaller = out[-1].select("y").distinct().count()
+        if smaller == image:
+            return out
+        image = smaller
 
 
 def analyze(graph: DataFrame) -> DataFrame:
@@ -27,26 +31,26 @@ def analyze(graph: DataFrame) -> DataFrame:
     tail counts the steps to the first periodic key, entry; cycle is its cycle's least key. Keys may be any type that
     can be ordered; rows with a null key or next key are left out, repeated rows count once."""
     graph = cut(graph.where("key IS NOT NULL AND nxt IS NOT NULL").distinct())
-    n = graph.count()
-    steps = max(1, n.bit_length())
-    table = jumps(graph, steps)
-    periodic = cut(table[-1].join(table[0].select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select(F.col("z").alias("p")).distinct())
-    # least key of each cycle, by doubling among periodic keys
-    label = periodic.select(F.col("p").alias("x"), F.col("p").alias("low"))
+    table = jumps(graph)
+    periodic = cut(table[-1].select(F.col("y").alias("p")).distinct())
+    # keys before the first periodic one, and that one: both add up along a walk, so they double with it
+    walk = table[0].join(periodic.select(F.col("p").alias("x"), F.lit(True).alias("in")), "x", "left")
+    walk = walk.select("x", F.when(F.col("in"), 0).otherwise(1).cast("long").alias("tail"), F.when(F.col("in"), F.col("x")).alias("entry"))
     for f in table:
-        further = f.join(label.select(F.col("x").alias("y"), F.col("low").alias("far")), "y").select("x", "far")
-        label = cut(label.join(further, "x").select("x", F.least("low", "far").alias("low")))
+        ahead = walk.select(F.col("x").alias("y"), F.col("tail").alias("more"), F.col("entry").alias("later"))
+        walk = cut(walk.join(f.join(ahead, "y").select("x", "more", "later"), "x").select("x", (F.col("tail") + F.col("more")).alias("tail"), F.coalesce("entry", "later").alias("entry")))
+    # least key of each cycle, by doubling among periodic keys
+    label = cut(table[0].join(periodic.withColumnRenamed("p", "x"), "x").select("x", "y", F.col("x").alias("low")))
+    while True:
+        ahead = label.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("low").alias("far"))
+        moved = cut(label.join(ahead, "y").select("x", F.col("z").alias("y"), "low", F.least("low", "far").alias("now")))
+        changed = moved.where("now <> low").limit(1).count()
+        label = moved.select("x", "y", F.col("now").alias("low"))
+        if not changed:
+            break
     lengths = label.groupBy("low").agg(F.count(F.lit(1)).alias("cycle_len"))
-    # the greatest number of steps that don't reach a periodic key, from the highest power down
-    walk = graph.select("key", F.col("key").alias("at"), F.lit(0).cast("long").alias("t"))
-    for k in range(steps - 1, -1, -1):
-        ahead = walk.join(table[k].select(F.col("x").alias("at"), "y"), "at").join(periodic.select(F.col("p").alias("y"), F.lit(True).alias("in")), "y", "left")
-        walk = cut(ahead.select("key", F.when(F.col("in"), F.col("at")).otherwise(F.col("y")).alias("at"), F.when(F.col("in"), F.col("t")).otherwise(F.col("t") + (1 << k)).alias("t")))
-    first = table[0].select(F.col("x").alias("at"), F.col("y").alias("after"))
-    found = walk.join(first, "at").join(periodic.select(F.col("p").alias("key"), F.lit(True).alias("periodic")), "key", "left")
-    found = found.select("key", F.coalesce("periodic", F.lit(False)).alias("periodic"), F.when(F.col("periodic"), F.lit(0).cast("long")).otherwise(F.col("t") + 1).alias("tail"), F.when(F.col("periodic"), F.col("key")).otherwise(F.col("after")).alias("entry"))
-    placed = found.join(label.select(F.col("x").alias("entry"), F.col("low").alias("cycle")), "entry")
-    return placed.join(lengths.withColumnRenamed("low", "cycle"), "cycle").select("key", "periodic", "tail", "entry", "cycle", "cycle_len")
+    cycles = label.join(lengths, "low").select(F.col("x").alias("entry"), F.col("low").alias("cycle"), "cycle_len")
+    return walk.join(cycles, "entry").select(F.col("x").alias("key"), (F.col("tail") == 0).alias("periodic"), "tail", "entry", "cycle", "cycle_len")
 
 
 def report(stats: DataFrame, by: list[str]) -> DataFrame:
