@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyforge.llm import oracle
 from tallyforge.llm.chat import op9_chat_format
 from tallyforge.llm.decontaminate import op7_decontaminate
 from tallyforge.llm.langid import op10_language_id
@@ -25,4 +26,9 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op8_toxicity": op8_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op3_minhash": oracle.MINHASH,
+    "op7_decontaminate": oracle.DECONTAMINATE,
+    "op9_chat_format": oracle.CHAT_FORMAT,
+}
