@@ -68,18 +68,19 @@ class Network:
         return np.concatenate([t[slots[:, i]] for i, t in enumerate(self.tables)], axis=1)
 
     def laid_out(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word vectors of all documents with blank rows after each, the documents' first rows and row counts."""
+        """Word vectors of all documents with blank rows after each, the documents' first rows and how many windows begin
+        in each: one at every word and one after the last, so that none reaches the next document."""
         blank = max(WIDTHS)
         sizes = np.array([len(d) + blank for d in docs])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        x = np.zeros((sizes.sum() + blank, sum(t.shape[1] for t in self.tables)), np.float32)
+        x = np.zeros((sizes.sum() + blank + 1, sum(t.shape[1] for t in self.tables)), np.float32)
         keep = np.ones(len(x), bool)
         for s, d in zip(starts, docs, strict=True):
             keep[s + len(d) : s + len(d) + blank] = False
         keep[sizes.sum() :] = False
         if keep.any():
             x[keep] = self.vectors(np.concatenate([d for d in docs if len(d)]))
-        return x, starts, sizes
+        return x, starts, sizes - blank + 1
 
     def convolved(self, x: np.ndarray, width: int) -> np.ndarray:
         kernel = self.kernels[width - 1]
@@ -90,17 +91,21 @@ class Network:
         return pooled @ self.out + self.constant
 
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
-        parts, owner = [], []
+        parts, owner, last = [], [], []
         for i, d in enumerate(docs):
             for at in range(0, max(1, len(d)), BLOCK):
                 parts.append(d[at : at + BLOCK + max(WIDTHS) - 1])
                 owner.append(i)
+                last.append(at + BLOCK >= len(d))
         pooled = np.full((len(docs), len(WIDTHS) * FILTERS), -np.inf, np.float32)
         group, size = [], 0
         for k in range(len(parts) + 1):
             if group and (k == len(parts) or size + len(parts[k]) > BLOCK):
-                x, starts, _ = self.laid_out([parts[g] for g in group])
-                maxima = np.concatenate([np.maximum.reduceat(self.convolved(x, w), starts, axis=0) + b for w, b in zip(WIDTHS, self.biases, strict=True)], axis=1)
+                x, starts, sizes = self.laid_out([parts[g] for g in group])
+                # a part that goes on has its windows' beginnings up to the next part's only
+                ends = starts + np.where([last[g] for g in group], sizes, BLOCK)
+                bounds = np.stack([starts, ends], axis=1).ravel()
+                maxima = np.concatenate([np.maximum.reduceat(self.convolved(x, w), bounds, axis=0)[::2] + b for w, b in zip(WIDTHS, self.biases, strict=True)], axis=1)
                 np.maximum.at(pooled, [owner[g] for g in group], maxima)
                 group, size = [], 0
             if k < len(parts):
