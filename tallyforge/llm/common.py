@@ -47,7 +47,7 @@ def alnum_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 150_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 

@@ -11,6 +11,7 @@ one item_id count as one item; repeated document rows give repeated result rows;
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -165,10 +166,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rem
     return found.select(*[F.col(f"__{i}__").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def _without(text: str, hits) -> str:
+def _without(text, hits):
     """The text without the hit words, as character runs from the first hit word's start to the last one's end."""
-    import re
-
+    if not hits:  # Spark evaluates this for every row
+        return text
     places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
     out, at = [], 0
     for h in hits:

@@ -139,6 +139,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]")
     at = f"__{docs.columns.index(text)}__"
 
     def replaced(t, secrets):
+        if not secrets:  # Spark evaluates this for every row
+            return t
         out, done = [], 0
         for s in secrets:
             if s["end"] <= done:
