@@ -138,6 +138,36 @@ def validated(edges: DataFrame, vertices: int) -> DataFrame:
     return out.union(loops).union(twice).union(one_way)
 
 
+def cut_width(edges: DataFrame, positions: DataFrame) -> DataFrame:
+    """(width) of an order (node, pos): the most edges that span a gap. Ends are summed by place before the running sum,
+    which has as many rows as there are nodes."""
+    from pyspark.sql import Window
+
+    ends = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    placed = ends.join(positions.toDF("src", "a"), "src").join(positions.toDF("dst", "b"), "dst")
+    marks = placed.select(F.explode(F.array(F.struct(F.least("a", "b").alias("pos"), F.lit(1).alias("x")), F.struct(F.greatest("a", "b").alias("pos"), F.lit(-1).alias("x")))).alias("m")).select("m.*").groupBy("pos").agg(F.sum("x").alias("x"))
+    return marks.select(F.sum("x").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("w")).agg(F.max("w").alias("width"))
+
+
+def breadth_first(edges: DataFrame, root: int) -> DataFrame:
+    """(node, pos): nodes that edges link to the root, by their distance, then number. Ranks are taken within a distance
+    and moved by the number of nodes nearer."""
+    from pyspark.sql import Window
+
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seen = frontier = cut(edges.sparkSession.createDataFrame([(root, 0)], "node long, dist long"))
+    dist = 0
+    while not frontier.isEmpty():
+        dist += 1
+        step = frontier.select(F.col("node").alias("src")).join(both, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        frontier = cut(step.withColumn("dist", F.lit(dist).cast("long")))
+        seen = cut(seen.union(frontier))
+    sizes = seen.groupBy("dist").agg(F.count(F.lit(1)).alias("n"))
+    nearer = sizes.select("dist", F.coalesce(F.sum("n").over(Window.orderBy("dist").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("nearer"))
+    ranked = seen.withColumn("r", F.row_number().over(Window.partitionBy("dist").orderBy("node")))
+    return ranked.join(nearer, "dist").select("node", (F.col("nearer") + F.col("r") - 1).alias("pos"))
+
+
 def degree_profile(edges: DataFrame) -> DataFrame:
     """(degree, nodes) of out-degrees."""
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))

@@ -70,6 +70,46 @@ def domino_tilings(spark: SparkSession, rows: int, cols: int) -> int:
     return int(row["n"] or 0)
 
 
+def tiling_counts(spark: SparkSession, rows: int, most: int) -> list[int]:
+    """Domino tilings of boards of so many rows and 0, 1 .. most columns, in one sweep: a column that reaches nowhere
+    ahead ends a board."""
+    now = spark.range(1).select(F.col("id").alias("state"), F.lit(1).alias("cnt"))
+    out = [1]
+    for at in range(rows * most):
+        free, below_free = F.col("state").bitwiseAND(F.lit(1)) == 0, F.col("state").bitwiseAND(F.lit(2)) == 0
+        options = [F.when(~free, F.col("state")), F.when(free, F.col("state").bitwiseOR(F.lit(1 << rows)))]
+        if at % rows < rows - 1:
+            options.append(F.when(free & below_free, F.col("state").bitwiseOR(F.lit(2))))
+        moved = now.select(F.explode(F.filter(F.array(*options), lambda s: s.isNotNull())).alias("s"), "cnt").select(F.shiftright("s", 1).alias("state"), "cnt")
+        now = merged(moved, ["state"])
+        if at % rows == rows - 1:
+            now = cut(now)
+            out.append(int(now.where("state = 0").agg(F.sum("cnt").alias("n")).first()["n"] or 0))
+    return out
+
+
+def fault_free_tilings(spark: SparkSession, rows: int, cols: int) -> int:
+    """Domino tilings that no straight line across the board leaves whole, by inclusion and exclusion.
+
+    A partition of the rows stands for its orders of strips; strips are tiled apart, boards without a vertical line are
+    found column by column, and partitions are summed with signs."""
+    counts = [(h, k, n) for h in range(1, rows + 1) for k, n in enumerate(tiling_counts(spark, h, cols)) if k]
+    strips = spark.createDataFrame(counts, "h long, k int, n long")
+    parts = generators.partitions(spark, rows).select("p", F.monotonically_increasing_id().alias("id"))
+    parts = cut(parts)
+    tiled = parts.select("id", F.explode("p").alias("h")).join(strips, "h").groupBy("id", "k").agg(F.collect_list("n").alias("ns")).select("id", "k", K.product_of(F.col("ns")).alias("v"))
+    lined = tiled.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("whole")).join(parts, "id")
+
+    def unbroken(done, k):
+        """G(k) = P(k) minus boards whose first vertical line is after j < k columns."""
+        crossed = F.aggregate(F.sequence(F.lit(1), k), F.lit(0).cast("long"), lambda a, j: a + F.when(j < k, F.get(done, j - 1) * F.get("whole", k - j - 1)).otherwise(F.lit(0)))
+        return F.concat(done, F.array(F.get("whole", k - 1) - crossed))
+
+    last = F.element_at(F.aggregate(F.sequence(F.lit(1), F.lit(cols)), F.array().cast("array<long>"), unbroken), -1)
+    signed = lined.select(F.when(F.size("p") % 2 == 1, 1).otherwise(-1).alias("sign"), K.composition_count(F.col("p")).alias("orders"), last.alias("g"))
+    return int(signed.agg(F.sum(F.col("sign") * F.col("orders") * F.col("g")).alias("n")).first()["n"])
+
+
 def king_placements(spark: SparkSession, n: int, cyclic: bool, modulus: int | None = None) -> int:
     """Sets of cells of an n by n board (a cylinder if cyclic) of which no two touch: line states that are compatible
     follow each other."""

@@ -133,6 +133,50 @@ def simple_path_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("paths > 0")
 
 
+@query(
+    "WITH RECURSIVE "
+    + _TRADE
+    + """, p(first, head, mask, length) AS (
+        SELECT DISTINCT src, src, CAST(1 AS BIGINT) << src, CAST(1 AS BIGINT) FROM e
+        UNION ALL SELECT first, dst, mask | (CAST(1 AS BIGINT) << dst), length + 1 FROM p JOIN e ON src = head WHERE (mask >> dst) & 1 = 0 AND dst > first AND length < 5)
+    SELECT length, count(*) AS cycles FROM p JOIN e ON e.src = p.head AND e.dst = p.first WHERE length > 1 GROUP BY 1"""
+)
+def directed_trade_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed cycles of two to five nations: a path that closes is found once from each of its nations."""
+    edges = trade_edges(spark, sf_dir)
+    found = graphs.simple_paths(edges, edges.select(F.col("src").alias("node")).distinct(), 4)
+    return found.where("cyclic > 0").select((F.col("length") + 1).alias("length"), (F.col("cyclic") / (F.col("length") + 1)).cast("long").alias("cycles"))
+
+
+@query(
+    "WITH RECURSIVE "
+    + _TRADE
+    + """, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(n, d) AS (SELECT min(src), CAST(0 AS BIGINT) FROM u UNION SELECT u.dst, d + 1 FROM w JOIN u ON u.src = w.n WHERE d < 24),
+    o AS (SELECT n, row_number() OVER (ORDER BY d, n) AS pos FROM (SELECT n, min(d) AS d FROM w GROUP BY n)),
+    s AS (SELECT least(a.pos, b.pos) AS a, greatest(a.pos, b.pos) AS b FROM (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM u) JOIN o a ON a.n = x JOIN o b ON b.n = y)
+    SELECT CAST(max(c) AS BIGINT) AS width FROM (SELECT o.pos, count(*) AS c FROM o JOIN s ON s.a <= o.pos AND o.pos < s.b GROUP BY 1)"""
+)
+def breadth_first_cut_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many edges of the trade graph span a gap at most, when nations are ordered breadth first from the least."""
+    edges = trade_edges(spark, sf_dir)
+    root = edges.agg(F.coalesce(F.least(F.min("src"), F.min("dst")), F.lit(0)).alias("r")).first()["r"]
+    return graphs.cut_width(edges, graphs.breadth_first(edges, root))
+
+
+@query(
+    """WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
+    x AS (SELECT n, count(*) AS c FROM a GROUP BY 1), y AS (SELECT n, count(*) AS c FROM b GROUP BY 1)
+    SELECT CAST(sum(x.c * y.c * gcd(x.n, y.n)) AS BIGINT) AS joint_cycles, CAST(max(lcm(x.n, y.n)) AS BIGINT) AS longest FROM x, y"""
+)
+def joint_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two histograms of numbers of orders as cycle lengths: cycles of the joint map, and the longest. Distinct numbers
+    meet, which are few, never their rows."""
+    orders = table(spark, sf_dir, "orders")
+    one, two = (orders.where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.count(F.lit(1)).alias(c)).groupBy(c).agg(F.count(F.lit(1)).alias(f"c{c}")) for s, c in (("F", "x"), ("O", "y")))
+    met = one.crossJoin(two).select((F.col("cx") * F.col("cy") * K.gcd(F.col("x"), F.col("y"))).alias("g"), K.lcm(F.col("x"), F.col("y")).alias("l"))
+    return met.agg(F.sum("g").alias("joint_cycles"), F.max("l").alias("longest"))
+
+
 @query(
     "WITH RECURSIVE "
     + _TRADE

@@ -88,6 +88,8 @@ def test_chip_firing_terminals(spark):
 def test_tilings_kings_and_orphans(spark):
     assert transfer.domino_tilings(spark, 4, 4) == 36
     assert transfer.domino_tilings(spark, 3, 3) == 0
+    assert transfer.tiling_counts(spark, 4, 4) == [1, 1, 5, 11, 36]
+    assert transfer.fault_free_tilings(spark, 5, 6) == 6
     assert transfer.king_placements(spark, 3, False) == 35
     image = {sum(((30 >> (4 * (x >> ((i + 1) % 6) & 1) + 2 * (x >> i & 1) + (x >> ((i - 1) % 6) & 1))) & 1) << i for i in range(6)) for x in range(64)}
     assert transfer.orphans(spark, 30, 6).first()["orphans"] == 64 - len(image)
@@ -106,6 +108,13 @@ def test_paths_cycles_and_sets_on_small_graphs(spark):
     assert graphs.girth(ring).first()["girth"] == 2
 
 
+def test_breadth_first_order_and_its_width(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)], "src long, dst long")
+    order = graphs.breadth_first(ring, 0)
+    assert dict(order.collect()) == {0: 0, 1: 1, 5: 2, 2: 3, 4: 4, 3: 5}
+    assert graphs.cut_width(ring, order).first()["width"] == 2
+
+
 def test_strong_components_and_plain_ones(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)], "src long, dst long")
     assert dict(graphs.strong_components(edges).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
