@@ -25,7 +25,7 @@ from tallyforge.llm import langid
 from tallyforge.llm.common import alnum_words, quoted, table, with_outputs
 
 #: Rows of either label that the network is fitted on at most.
-MOST_LABELLED = 4000
+MOST_LABELLED = 3000
 THRESHOLD = 0.3
 BITS, WORD_DIMS, PREFIX_DIMS, PREFIX_BYTES = 16, 8, 4, 7
 WIDTHS, FILTERS = (1, 2, 3), 16
@@ -38,7 +38,7 @@ _MASK = (1 << BITS) - 1
 class WordSlots(dict):
     """Word -> its three slots in one number, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -51,7 +51,7 @@ class WordSlots(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         packed = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.stack([packed & _MASK, packed >> BITS & _MASK, packed >> 2 * BITS], axis=1)
+        return np.stack([packed & _MASK, packed >> BITS & _MASK, packed >> 2 * BITS], axis=1).astype(np.uint16)
 
 
 @dataclass
@@ -224,20 +224,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     chosen = langid.sample_of(ids, "__label__", "__id__", most_labelled).limit(3 * most_labelled)
     rows = docs.select(F.col(quoted(id_col)).alias("__id__"), F.col(quoted(text)).cast("string").alias("text")).join(F.broadcast(chosen), "__id__")
     rows = rows.where("text is not null").groupBy("__id__").agg(F.min(F.struct("text", "__label__")).alias("row")).select("__id__", "row.*").orderBy("__id__").collect()
-    slots = WordSlots()
-    texts = [slots.of(alnum_words(r["text"])) for r in rows]
     y = np.array([r["__label__"] for r in rows])
     if len(set(y.tolist())) < 2:
         return ToxicityModel(None, languages)
     part = np.array([xxhash.xxh3_64_intdigest(str(r["__id__"]), 3) % 4 == 0 for r in rows])
     if len(set(y[part].tolist())) < 2 or len(set(y[~part].tolist())) < 2:
         part[:] = False
-    network = train([t for t, p in zip(texts, part, strict=True) if not p], y[~part])
     back = np.flatnonzero(part) if part.any() else np.arange(len(y))
-    scores, known = network.scores([texts[i] for i in back]), y[back]
-    network.threshold = best_threshold(scores, known, np.ones(len(back)))
     identifier = langid.Identifier(languages)
     spoken = np.array([identifier.predict(rows[i]["text"])[0] for i in back])
+    slots = WordSlots()
+    texts = [slots.of(alnum_words(r["text"])) for r in rows]
+    del rows, slots, identifier  # the texts themselves are of no more use
+    network = train([t for t, p in zip(texts, part, strict=True) if not p], y[~part])
+    scores, known = network.scores([texts[i] for i in back]), y[back]
+    network.threshold = best_threshold(scores, known, np.ones(len(back)))
     for lang_value in set(spoken.tolist()):
         own = spoken == lang_value
         if (known[own] == 1).any():
