@@ -26,6 +26,8 @@ MOST_LANGUAGES = 300
 WORDS_PER_LANGUAGE = 60_000
 GRAMS_PER_LANGUAGE = 20_000
 LONGEST_GRAM = 5
+#: Numbers that a table, or the cache of word scores, has at most: with very many languages, entries get fewer.
+MOST_CELLS = 8_000_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,7 +44,8 @@ class LanguageModel:
         for lang, text in rows:
             words[lang].update(_WORD.findall(text.lower()))
         self.languages, self.longest = sorted(words), longest
-        self.tables: dict[int, tuple[dict[str, int], np.ndarray]] = {0: self._table({k: Counter(dict(c.most_common(WORDS_PER_LANGUAGE))) for k, c in words.items()})}
+        most = MOST_CELLS // max(1, len(words)) ** 2
+        self.tables: dict[int, tuple[dict[str, int], np.ndarray]] = {0: self._table({k: Counter(dict(c.most_common(min(WORDS_PER_LANGUAGE, most)))) for k, c in words.items()})}
         for n in range(1, longest + 1):
             grams: dict[str, Counter] = {}
             for lang in self.languages:
@@ -50,7 +53,7 @@ class LanguageModel:
                 for word, times in words[lang].items():
                     for g in self._grams(word, n):
                         found[g] += times
-                grams[lang] = Counter(dict(found.most_common(GRAMS_PER_LANGUAGE)))
+                grams[lang] = Counter(dict(found.most_common(min(GRAMS_PER_LANGUAGE, most))))
             self.tables[n] = self._table(grams)
 
     @staticmethod
@@ -92,7 +95,7 @@ class Identifier:
     """Scores texts; remembers the scores of up to ``most`` words."""
 
     def __init__(self, model: LanguageModel, most: int = 300_000):
-        self.model, self.most = model, most
+        self.model, self.most = model, min(most, MOST_CELLS // max(1, len(model.languages)))
         self.index: dict[str, int] = {}
         self.scores = np.empty((1024, len(model.languages)))
 
