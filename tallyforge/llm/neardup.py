@@ -257,7 +257,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc
     found = as_table(near_duplicates(docs, text, id_col, width, percent), "found")
     own = F.col(quoted(id_col))
     dropped = found.where(own != F.col("component_id")).select(own.alias("__other__")).distinct()
-    kept = docs.join(dropped, own.cast("long") == F.col("__other__"), "left_anti")
+    # what is dropped grows with the input: shuffled at every size, like the joins of candidates
+    kept = docs.join(dropped.hint("merge"), own.cast("long") == F.col("__other__"), "left_anti")
     again = found.where(own.isNotNull()).groupBy(own.alias("__other__")).count().where("count > 1").select("__other__")
     if not again.limit(1).count():
         return kept
