@@ -7,6 +7,7 @@ cents, so that they don't depend on the order of addition.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,6 +119,11 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(trade_counts(spark, sf_dir).where("n % 6 = 0").select("src", "dst"))
 
 
+def all_trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of nations that trade."""
+    return cut(trade_counts(spark, sf_dir).select("src", "dst"))
+
+
 @query(
     "WITH RECURSIVE "
     + _TRADE
@@ -126,9 +132,9 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT first, dst, mask | (CAST(1 AS BIGINT) << dst), length + 1 FROM p JOIN e ON src = head WHERE (mask >> dst) & 1 = 0 AND length < 4)
     SELECT length, count(*) AS paths, count(e.src) AS cyclic FROM p LEFT JOIN e ON e.src = p.head AND e.dst = p.first WHERE length > 0 GROUP BY 1"""
 )
-def simple_path_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+def simple_path_census(spark: SparkSession, sf_dir: str, edges_of=trade_edges) -> DataFrame:
     """Simple paths of up to four edges in the trade graph, and those that can close."""
-    edges = trade_edges(spark, sf_dir)
+    edges = edges_of(spark, sf_dir)
     found = graphs.simple_paths(edges, edges.select(F.col("src").alias("node")).distinct(), 4)
     return found.where("paths > 0")
 
@@ -141,9 +147,9 @@ def simple_path_census(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT first, dst, mask | (CAST(1 AS BIGINT) << dst), length + 1 FROM p JOIN e ON src = head WHERE (mask >> dst) & 1 = 0 AND dst > first AND length < 5)
     SELECT length, count(*) AS cycles FROM p JOIN e ON e.src = p.head AND e.dst = p.first WHERE length > 1 GROUP BY 1"""
 )
-def directed_trade_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def directed_trade_cycles(spark: SparkSession, sf_dir: str, edges_of=trade_edges) -> DataFrame:
     """Directed cycles of two to five nations: a path that closes is found once from each of its nations."""
-    edges = trade_edges(spark, sf_dir)
+    edges = edges_of(spark, sf_dir)
     found = graphs.simple_paths(edges, edges.select(F.col("src").alias("node")).distinct(), 4)
     return found.where("cyclic > 0").select((F.col("length") + 1).alias("length"), (F.col("cyclic") / (F.col("length") + 1)).cast("long").alias("cycles"))
 
@@ -156,9 +162,9 @@ def directed_trade_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT least(a.pos, b.pos) AS a, greatest(a.pos, b.pos) AS b FROM (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM u) JOIN o a ON a.n = x JOIN o b ON b.n = y)
     SELECT CAST(max(c) AS BIGINT) AS width FROM (SELECT o.pos, count(*) AS c FROM o JOIN s ON s.a <= o.pos AND o.pos < s.b GROUP BY 1)"""
 )
-def breadth_first_cut_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+def breadth_first_cut_width(spark: SparkSession, sf_dir: str, edges_of=trade_edges) -> DataFrame:
     """How many edges of the trade graph span a gap at most, when nations are ordered breadth first from the least."""
-    edges = trade_edges(spark, sf_dir)
+    edges = edges_of(spark, sf_dir)
     root = edges.agg(F.coalesce(F.least(F.min("src"), F.min("dst")), F.lit(0)).alias("r")).first()["r"]
     return graphs.cut_width(edges, graphs.breadth_first(edges, root))
 
@@ -183,8 +189,8 @@ def joint_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
     SELECT src, count(*) AS reached FROM r GROUP BY 1"""
 )
-def reachable_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.closure(trade_edges(spark, sf_dir)).groupBy("src").agg(F.count(F.lit(1)).alias("reached"))
+def reachable_nations(spark: SparkSession, sf_dir: str, edges_of=trade_edges) -> DataFrame:
+    return graphs.closure(edges_of(spark, sf_dir)).groupBy("src").agg(F.count(F.lit(1)).alias("reached"))
 
 
 @query(
@@ -194,8 +200,8 @@ def reachable_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c AS (SELECT src, min(d) AS d FROM w WHERE src = dst GROUP BY 1)
     SELECT d AS girth, count(*) AS through FROM c WHERE d = (SELECT min(d) FROM c) GROUP BY 1"""
 )
-def shortest_trade_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.girth(trade_edges(spark, sf_dir))
+def shortest_trade_cycle(spark: SparkSession, sf_dir: str, edges_of=trade_edges) -> DataFrame:
+    return graphs.girth(edges_of(spark, sf_dir))
 
 
 @query(
@@ -206,8 +212,8 @@ def shortest_trade_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     l AS (SELECT v.n, least(v.n, coalesce(min(a.dst), v.n)) AS comp FROM v LEFT JOIN (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src) a ON a.src = v.n GROUP BY v.n)
     SELECT comp AS component, count(*) AS size FROM l GROUP BY 1"""
 )
-def strong_components_of_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.strong_components(trade_edges(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+def strong_components_of_trade(spark: SparkSession, sf_dir: str, edges_of=trade_edges) -> DataFrame:
+    return graphs.strong_components(edges_of(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
 @query(
@@ -218,10 +224,10 @@ def strong_components_of_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT v.n, mask | (CAST(1 AS BIGINT) << v.n), size + 1 FROM s JOIN v ON v.n > s.last WHERE size < 4 AND NOT EXISTS (SELECT 1 FROM u WHERE u.src = v.n AND (mask >> u.dst) & 1 = 1))
     SELECT size, count(*) AS sets FROM s GROUP BY 1"""
 )
-def independent_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def independent_nations(spark: SparkSession, sf_dir: str, edges_of=trade_edges) -> DataFrame:
     """Sets of up to four nations without a trade edge among them, by size."""
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
-    return graphs.independent_sets(trade_edges(spark, sf_dir), nodes, 4).where("sets > 0")
+    return graphs.independent_sets(edges_of(spark, sf_dir), nodes, 4).where("sets > 0")
 
 
 @query(
@@ -243,18 +249,29 @@ def supplier_part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     + _TRADE
     + """, d AS (SELECT dst, count(*) AS degree FROM e GROUP BY 1) SELECT degree, count(*) AS nodes FROM d GROUP BY 1"""
 )
-def in_degree_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade_edges(spark, sf_dir)
+def in_degree_histogram(spark: SparkSession, sf_dir: str, edges_of=trade_edges) -> DataFrame:
+    edges = edges_of(spark, sf_dir)
     return graphs.degree_profile(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 @query("WITH " + _TRADE + ", x AS (SELECT a.src, a.dst FROM e a LEFT JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE b.src IS NULL) SELECT 'one_way' AS fault, count(*) AS edges FROM x HAVING count(*) > 0")
-def trade_graph_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trade_graph_faults(spark: SparkSession, sf_dir: str, edges_of=trade_edges) -> DataFrame:
     """Edges that an undirected graph couldn't have."""
-    found = graphs.validated(trade_edges(spark, sf_dir), 25)
+    found = graphs.validated(edges_of(spark, sf_dir), 25)
     return found.groupBy("fault").agg(F.count(F.lit(1)).alias("edges"))
 
 
+def over_all_trade(f) -> None:
+    """Register ``f`` over all pairs of nations too, as NAME_of_all_pairs; its SQL is that of ``f`` without the thinning."""
+    name = f"{f.__name__}_of_all_pairs"
+    QUERIES[name] = partial(f, edges_of=all_trade_edges)
+    ORACLE_SQL[name] = ORACLE_SQL[f.__name__].replace(" WHERE n % 6 = 0", "")
+
+
+for _f in (simple_path_census, directed_trade_cycles, breadth_first_cut_width, reachable_nations, shortest_trade_cycle, strong_components_of_trade, independent_nations, in_degree_histogram, trade_graph_faults):
+    over_all_trade(_f)
+
+
 # Tournaments -----------------------------------------------------------------------------------------------------------
 
 _BEATS = """
@@ -605,8 +622,13 @@ def monthly_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_brand, p_partkey, k FROM (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS BIGINT) AS k FROM part) WHERE k % 10 = 3")
 def price_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose price rank within their brand ends in 3."""
-    ranked = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")).cast("long").alias("k"))
-    return ranked.where("k % 10 = 3")
+    return all_price_ranks(spark, sf_dir).where("k % 10 = 3")
+
+
+@query("SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS BIGINT) AS k FROM part")
+def all_price_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's price rank within its brand."""
+    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")).cast("long").alias("k"))
 
 
 @query(
