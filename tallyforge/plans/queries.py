@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import kernels as K
+from tallyforge.functions.decks import flips_of, rank_digits_of
 from tallyforge.operators import exact, functional_graph, graphs, sampling, transfer, verify
 from tallyforge.operators.loops import cut
 
@@ -401,14 +402,18 @@ _DECKS = """
 
 
 def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, p): an order's items by line number as a permutation of their price ranks; orders of up to seven items, as
-    lookups of longer decks are of no use to the statistics below."""
+    """The result of all_decks() for orders of up to seven items."""
+    return all_decks(spark, sf_dir).where(F.size("p") <= 7)
+
+
+def all_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, p): an order's items by line number as a permutation of their price ranks."""
     tie = ["l_partkey", "l_suppkey"]
     by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *tie, "l_extendedprice", "l_shipdate", "l_quantity")
     by_price = Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_linenumber", *tie, "l_shipdate", "l_quantity")
     ranked = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(by_line).alias("pos"), F.row_number().over(by_price).alias("val"))
     decks = ranked.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("l"))
-    return decks.select(F.col("l_orderkey").alias("k"), F.transform("l", lambda x: x["val"]).alias("p")).where(F.size("p") <= 7)
+    return decks.select(F.col("l_orderkey").alias("k"), F.transform("l", lambda x: x["val"]).alias("p"))
 
 
 @query(
@@ -421,6 +426,10 @@ def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topswops_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flips until the cheapest item is on top: totals and worst cases by deck size. 16 flips are enough for seven."""
     flips = decks(spark, sf_dir).select(F.size("p").cast("long").alias("size"), K.flips_to_top(F.col("p"), 16).alias("t"))
+    return flip_totals(flips)
+
+
+def flip_totals(flips: DataFrame) -> DataFrame:
     by_count = flips.groupBy("size", "t").agg(F.count(F.lit(1)).alias("n"))
     return by_count.groupBy("size").agg(F.sum("n").alias("decks"), F.sum(F.col("n") * F.col("t")).alias("flips"), F.max("t").alias("most"), F.max_by("n", "t").alias("at_most"))
 
@@ -439,10 +448,38 @@ def permutation_rank_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _DECKS + ", u AS (SELECT k, n, unnest(p) AS v, generate_subscripts(p, 1) AS i FROM d) SELECT n AS size, count(*) AS decks, CAST(sum(CAST(f = 0 AS BIGINT)) AS BIGINT) AS gardens FROM (SELECT k, n, count(*) FILTER (WHERE i > 1 AND v = i) AS f FROM u GROUP BY 1, 2) GROUP BY 1")
 def decks_without_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = decks(spark, sf_dir).select(F.size("p").cast("long").alias("size"), K.no_fixed_point_after_first(F.col("p")).alias("garden"))
+    return gardens(decks(spark, sf_dir))
+
+
+def gardens(decks: DataFrame) -> DataFrame:
+    flagged = decks.select(F.size("p").cast("long").alias("size"), K.no_fixed_point_after_first(F.col("p")).alias("garden"))
     return flagged.groupBy("size").agg(F.count(F.lit(1)).alias("decks"), F.sum(F.col("garden").cast("long")).alias("gardens"))
 
 
+@query(ORACLE_SQL["topswops_of_orders"].replace(" WHERE n <= 7", ""))
+def topswops_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topswops_of_orders for orders of any size, with as many flips as a deck needs."""
+    return flip_totals(all_decks(spark, sf_dir).select(F.size("p").cast("long").alias("size"), flips_of("p").alias("t")))
+
+
+@query(
+    "WITH "
+    + _DECKS.replace(" WHERE n <= 7", "")
+    + """, u AS (SELECT k, n, unnest(p) AS v, generate_subscripts(p, 1) AS i FROM d),
+    c AS (SELECT a.k, a.n, a.i, count(b.v) AS s FROM u a LEFT JOIN u b ON a.k = b.k AND b.i > a.i AND b.v < a.v GROUP BY 1, 2, 3)
+    SELECT n AS size, digits, count(*) AS decks FROM (SELECT k, n, list(s ORDER BY i) AS digits FROM c GROUP BY 1, 2) GROUP BY 1, 2"""
+)
+def permutation_rank_histogram_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of orders of any size, as digits in the factorial base: beyond 20 items they don't fit into 64 bits."""
+    ranked = all_decks(spark, sf_dir).select(F.size("p").cast("long").alias("size"), rank_digits_of("p").alias("digits"))
+    return ranked.groupBy("size", "digits").agg(F.count(F.lit(1)).alias("decks"))
+
+
+@query(ORACLE_SQL["decks_without_predecessor"].replace(" WHERE n <= 7", ""))
+def all_decks_without_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gardens(all_decks(spark, sf_dir))
+
+
 _WORDS = """
     s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, left(event_type, 1) AS c FROM events),
     w AS (SELECT DISTINCT a.c || b.c || d.c AS w FROM s a JOIN s b ON a.user_id = b.user_id AND b.i = a.i + 1 JOIN s d ON a.user_id = d.user_id AND d.i = a.i + 2)

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 
 import duckdb
 import pytest
@@ -39,3 +40,28 @@ def test_price_ranks_have_every_part(spark):
     for brand, price, part in rows("SELECT p_brand, p_retailprice, p_partkey FROM {part}"):
         by_brand[brand].append((price, part))
     assert found == sorted((b, part, k) for b, own in by_brand.items() for k, (_, part) in enumerate(sorted(own), 1))
+
+
+def flips_by_hand(p):
+    t = 0
+    while p[0] != 1:
+        p, t = p[: p[0]][::-1] + p[p[0] :], t + 1
+    return t
+
+
+def test_decks_of_any_size(spark, tmp_path):
+    """Orders of 1 to 40 items and one of 3000, which is most of the table."""
+    rng = random.Random(5)
+    lines, decks = [], {}
+    for key, n in enumerate([*range(1, 41), 3000]):
+        p = decks[key] = rng.sample(range(1, n + 1), n)
+        lines += [(key, pos, 0, 0, float(v), "1996-01-01", 1.0) for pos, v in enumerate(p, 1)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate string, l_quantity double"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    flips = {len(p): flips_by_hand(p) for p in decks.values()}
+    assert {r["size"]: (r["decks"], r["flips"], r["most"], r["at_most"]) for r in run("topswops_of_all_orders")} == {n: (1, t, t, 1) for n, t in flips.items()}
+    digits = {len(p): [sum(w < v for w in p[i:]) for i, v in enumerate(p)] for p in decks.values()}
+    assert {r["size"]: r["digits"] for r in run("permutation_rank_histogram_of_all_orders")} == digits
+    gardens = {len(p): int(all(v != i for i, v in enumerate(p, 1) if i > 1)) for p in decks.values()}
+    assert {r["size"]: r["gardens"] for r in run("all_decks_without_predecessor")} == gardens
