@@ -240,11 +240,21 @@ def independent_nations(spark: SparkSession, sf_dir: str, edges_of=trade_edges)
 def supplier_part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of suppliers and parts that returned, undiscounted, small line items link; by size."""
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount = 0 AND l_quantity <= 2")
+    return component_sizes(lines)
+
+
+def component_sizes(lines: DataFrame) -> DataFrame:
     edges = lines.select((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst"))
     sizes = graphs.components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("components"))
 
 
+@query(ORACLE_SQL["supplier_part_components"].replace(" WHERE l_returnflag = 'R' AND l_discount = 0 AND l_quantity <= 2", ""))
+def supplier_part_components_of_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of suppliers and parts that any line item links; by size."""
+    return component_sizes(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct())
+
+
 @query(
     "WITH "
     + _TRADE

@@ -65,3 +65,27 @@ def test_decks_of_any_size(spark, tmp_path):
     assert {r["size"]: r["digits"] for r in run("permutation_rank_histogram_of_all_orders")} == digits
     gardens = {len(p): int(all(v != i for i, v in enumerate(p, 1) if i > 1)) for p in decks.values()}
     assert {r["size"]: r["gardens"] for r in run("all_decks_without_predecessor")} == gardens
+
+
+def union_find_sizes(links):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(("s", a))] = root(("p", b))
+    return sorted(collections.Counter(collections.Counter(root(x) for x in list(parent)).values()).items())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_all_line_items(spark, tmp_path, seed):
+    """Sparse links, repeated rows, one hot supplier, and no row that the thinned query would keep."""
+    rng = random.Random(seed)
+    links = [(rng.randrange(60), rng.randrange(90)) for _ in range(70)] + [(7, 100 + rng.randrange(200)) for _ in range(400)]
+    lines = [(a, b, "N", 0.05, 30.0) for a, b in links + links[:20]]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_returnflag string, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = plans.QUERIES["supplier_part_components_of_all_lines"](spark, str(tmp_path))
+    assert sorted((r["size"], r["components"]) for r in found.collect()) == union_find_sizes(links)
