@@ -10,7 +10,7 @@ more than two blocks. A task gives at most one link for each member, never a gro
 With BANDS bands of ROWS minima, two sets of similarity 0.8 share none with a chance of 3 in a million.
 
 Defined results: a text without words, or null, has the empty set, and is linked with nothing; rows of one id are one
-document; identical texts are linked; an empty table gives an empty result; extra columns stay, and give way to an
+document; a row with a null id is linked with nothing, has a null component, and stays; identical texts are linked; an empty table gives an empty result; extra columns stay, and give way to an
 output of the same name.
 """
 
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """A row for each of ``docs``: its id, n_shingles and component_id, the least id that links reach."""
     source = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text)).cast("string").alias("text"))
     sets = as_table(shingle_sets(source, "text", width).drop("text"), "sets")
-    full = sets.where("n_shingles > 0")
+    full = sets.where("n_shingles > 0 AND id IS NOT NULL")
     classes = full.groupBy("set_key").agg(F.min(F.struct("id", "signature", "bands")).alias("first")).select("set_key", "first.*")
     classes = as_table(classes, "classes")
     banded = classes.select(F.explode("bands").alias("h"), F.col("id").alias("node"))
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         component = as_table(connected_components(links), "components")
     of_class = classes.select("set_key", F.col("id").alias("node")).join(component, "node", "left").select("set_key", F.coalesce("component", "node").alias("c"))
     found = sets.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("c", "id").alias("component_id"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
 
 
 def _left_apart(many: DataFrame, component: DataFrame, texts: DataFrame, block: int, width: int, percent: int) -> DataFrame:
@@ -268,4 +268,4 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

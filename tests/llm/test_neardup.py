@@ -79,3 +79,20 @@ def test_connected_components_of_long_paths_and_stars(spark):
     assert {got[i] for i in range(100, 141)} == {100}
     assert {got[i] for i in range(200, 260)} | {got[7]} == {7}
     assert got[9] == got[8] == 8
+
+
+def test_null_id_inside_a_group_of_copies(spark):
+    """Copies stay linked with each other and with near copies; the null id's row has no component, and stays."""
+    words = [f"w{i}" for i in range(100)]
+    copy, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, copy), (1, copy), (2, copy), (3, near), (None, near), (4, "q r s t u v w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df).collect()), key=str)
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (None, None), (None, None)]
+    assert sorted(map(tuple, neardup.drop_near_duplicates(df).collect()), key=str) == sorted([rows[0], rows[1], rows[4], rows[5]], key=str)
+
+
+def test_null_ids_are_kept_by_the_query(spark, tmp_path):
+    spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.op3_minhash(spark, str(tmp_path)).collect()}
+    assert got == {(None, None, True), (1, 1, True), (2, 1, False)}
