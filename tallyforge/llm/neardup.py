@@ -7,7 +7,8 @@ is verified on full sets. Larger groups are dealt into blocks with their least m
 leaves in different components meets again block against block, so no pair of a group goes unverified and no task holds
 more than two blocks. A task gives at most one link for each member, never a group's pairs.
 
-With BANDS bands of ROWS minima, two sets of similarity 0.8 share none with a chance of 3 in a million.
+With BANDS bands of ROWS minima, two sets of similarity 0.8 share none with a chance of 3 in a million; that their
+signatures agree in less than SIGNATURE_SHARE has the same chance.
 
 Defined results: a text without words, or null, has the empty set, and is linked with nothing; rows of one id are one
 document; a row with a null id is linked with nothing, has a null component, and stays; identical texts are linked; an empty table gives an empty result; extra columns stay, and give way to an
@@ -60,11 +61,16 @@ class MinHash:
         return out
 
 
+def signature_of(minima: np.ndarray) -> bytes:
+    """A byte of a hash of each minimum. The minima of large sets are small numbers, whose own top bytes are all 0."""
+    return ((minima * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 SETS = "n_shingles long, set_key binary, signature binary, bands array<long>"
 
 
 def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """``docs`` with its set's size and digest, its signature (a byte of each minimum) and a hash of each band."""
+    """``docs`` with its set's size and digest, its signature (signature_of its minima) and a hash of each band."""
 
     def make():
         hashes, minhash = WordHashes(), MinHash()
@@ -75,7 +81,7 @@ def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
                 return 0, None, None, None
             minima = minhash.of(s)
             bands = [xxhash.xxh3_64_intdigest(minima[k * ROWS : (k + 1) * ROWS].tobytes(), k) - 2**63 for k in range(BANDS)]
-            return len(s), xxhash.xxh3_128_digest(s.tobytes()), (minima >> np.uint32(24)).astype(np.uint8).tobytes(), bands
+            return len(s), xxhash.xxh3_128_digest(s.tobytes()), signature_of(minima), bands
 
         return lambda texts: [list(c) for c in zip(*map(one, texts), strict=True)] if texts else [[], [], [], []]
 

@@ -96,3 +96,13 @@ def test_null_ids_are_kept_by_the_query(spark, tmp_path):
     spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.op3_minhash(spark, str(tmp_path)).collect()}
     assert got == {(None, None, True), (1, 1, True), (2, 1, False)}
+
+
+def test_signatures_filter_unrelated_long_texts():
+    """20 unrelated texts of 3000 shingles, one of which has a copy with a tenth replaced: these two alone are left."""
+    rng = np.random.default_rng(4)
+    minhash = neardup.MinHash()
+    sets = [rng.integers(0, 2**64, 3000, np.uint64) for _ in range(20)]
+    sets.append(np.concatenate([sets[3][:2700], rng.integers(0, 2**64, 300, np.uint64)]))
+    rows = [(0, node, neardup.signature_of(minhash.of(s))) for node, s in enumerate(sets)]
+    assert [node for _, node in neardup._resembling(rows, None)] == [3, 20]
