@@ -278,7 +278,9 @@ def select_spans(found: DataFrame, trees: Trees) -> DataFrame:
     rated = F.transform("proposed", lambda c: F.struct((-score(c)).alias("rank"), c["start"].alias("start"), (-c["end"]).alias("till"), c["kind"].alias("kind"), c["end"].alias("end")))
     good = F.filter(rated, lambda c: (-c["rank"] >= F.get(limits, c["kind"])) & ~F.exists("base", lambda b: touches(b, c)))
     scored = scored.withColumn("__good__", F.when(F.size("proposed") > 0, good).otherwise(F.expr("cast(array() as array<struct<rank: double, start: int, till: int, kind: int, end: int>>)")))
-    added = F.filter("__good__", lambda c: ~F.exists("__good__", lambda o: touches(o, c) & (o < c)))
+    # best first, each that touches none chosen so far
+    none = F.filter("__good__", lambda c: F.lit(False))
+    added = F.aggregate(F.array_sort("__good__"), none, lambda kept, c: F.when(F.exists(kept, lambda o: touches(o, c)), kept).otherwise(F.concat(kept, F.array(c))))
     names = F.array(*[F.lit(k) for k in KINDS])
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("number"), c["end"].alias("end"), F.get(names, c["kind"]).alias("kind"))
     return scored.withColumn("spans", F.array_sort(F.concat(F.transform("base", span), F.transform(added, span)))).drop("__scores__", "__good__", "proposed")

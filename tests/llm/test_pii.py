@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -85,3 +86,35 @@ def test_query_digest(spark, sf):
         text = ",".join(f"{list(PATTERNS)[k]}:{a}:{b}" for a, k, b in spans)
         assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert [got[r["doc_id"]][f"n_{k}"] for k in PATTERNS] == [sum(s[1] == i for s in spans) for i in range(4)]
+
+
+class ByCode:
+    """Scores that a code gives in percent."""
+
+    thresholds = [0.1] * len(pii.KINDS)
+
+    def score(self, code):
+        return code / 100
+
+
+def greedy(base, proposed):
+    """Best score first, then the first, the longest and the kind; each that touches nothing before it."""
+    touches = lambda a, b: a[1] < b[2] and b[1] < a[2]
+    kept = []
+    for c in sorted((c for c in proposed if c[3] >= 10), key=lambda c: (-c[3], c[1], -c[2], c[0])):
+        if not any(touches(c, o) for o in [*base, *kept]):
+            kept.append(c)
+    return sorted((s, k, e) for k, s, e, *_ in [*base, *kept])
+
+
+def test_a_suppressed_span_suppresses_nothing(spark):
+    chain = [(4, 0, 10, 90), (4, 8, 20, 80), (4, 18, 30, 70), (5, 28, 40, 60)]
+    rng = random.Random(2)
+    rows = [(0, [], chain), (1, [], []), (2, [(0, 5, 9)], chain)]
+    for i in range(3, 60):
+        made = [(rng.randrange(6), s, s + rng.randint(1, 12), rng.randrange(100)) for s in (rng.randrange(60) for _ in range(rng.randint(0, 25)))]
+        rows.append((i, [], list(set(made))))
+    df = spark.createDataFrame(rows, "id long, base array<struct<kind: int, start: int, end: int>>, proposed array<struct<kind: int, start: int, end: int, code: int>>")
+    got = {r["id"]: [(s["start"], s["number"], s["end"]) for s in r["spans"]] for r in pii.select_spans(df, ByCode()).collect()}
+    assert got[0] == [(0, 4, 10), (18, 4, 30)]
+    assert got == {i: greedy(base, proposed) for i, base, proposed in rows}
