@@ -9,9 +9,10 @@ from tallyforge.llm.common import as_table, drop_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to the least of the node and its neighbours."""
+    """Each node's larger neighbours are linked to the least of the node and its neighbours. Minima are written first:
+    as a join of two plain exchanges, Spark may split the rows of a node with very many neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = as_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 

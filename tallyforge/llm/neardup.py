@@ -2,17 +2,19 @@
 
 A document's set is its distinct word shingles (a text of fewer words is one shingle as a whole). Documents with one
 and the same set are a class, by a 128-bit digest. Classes that share a band of their minima are a group; groups of the
-same members count once. In groups of up to BLOCK members, signatures drop members that resemble nobody; what is left
-is verified on full sets. Larger groups are dealt into blocks with their least member in each, and what a first round
-leaves in different components meets again block against block, so no pair of a group goes unverified and no task holds
-more than two blocks. A task gives at most one link for each member, never a group's pairs.
+same members count once. Large groups are dealt into blocks of about BLOCK members with their least member in each.
+Signatures drop members of a block that resemble nobody there; what is left is verified on full sets. What a first round
+leaves in different components of a large group meets again, split by a second band and block against block: by
+signatures, then on full sets. So no pair of a group goes unverified, and no task holds more than two blocks. A task
+gives at most one link for each member, never a group's pairs.
 
 With BANDS bands of ROWS minima, two sets of similarity 0.8 share none with a chance of 3 in a million; that their
-signatures agree in less than SIGNATURE_SHARE has the same chance.
+signatures agree in less than SIGNATURE_SHARE has the same chance. In large groups that stay apart, two such sets share
+no second band with a chance of 5 in 100,000.
 
 Defined results: a text without words, or null, has the empty set, and is linked with nothing; rows of one id are one
-document; a row with a null id is linked with nothing, has a null component, and stays; identical texts are linked; an empty table gives an empty result; extra columns stay, and give way to an
-output of the same name.
+document; a row with a null id is linked with nothing, has a null component, and stays; identical texts are linked; an empty table gives an empty result;
+extra columns stay, and give way to an output of the same name.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -132,48 +134,63 @@ def _resembling(rows: list[tuple], _) -> list[tuple]:
     return [r[:-1] for r, keep in zip(rows, near, strict=True) if keep]
 
 
+def _resembling_across(rows: list[tuple], _) -> list[tuple]:
+    """Members whose signature agrees enough with one of the other side in another component. rows: (group, block,
+    block, side, node, component, signature); sides 0 and 1, or all on side 0."""
+    signatures = np.array([np.frombuffer(r[-1], np.uint8) for r in rows])
+    component, side = np.array([r[5] for r in rows]), np.array([r[3] for r in rows])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(right):
+        right = left
+    near = np.zeros(len(rows), bool)
+    for i in left.tolist():
+        agree = ((signatures[right] == signatures[i]).mean(axis=1) >= SIGNATURE_SHARE) & (component[right] != component[i])
+        near[right[agree]] = True
+        near[i] |= agree.any()
+    return [r[:-1] for r, keep in zip(rows, near, strict=True) if keep]
+
+
 def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """(i, j) where 100 * intersection >= percent * union, for sets of sorted distinct hashes: shared hashes are
-    counted by products of 0/1 matrices, some columns at a time."""
-    sizes_l, sizes_r = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    if len(left) == len(right) == 1:
-        shared = np.array([[len(np.intersect1d(left[0], right[0], assume_unique=True))]], float)
-    else:
-        values, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-        row = np.repeat(np.arange(len(left) + len(right)), [*sizes_l, *sizes_r])
-        times = np.bincount(column, minlength=len(values))
-        keep = times > 1  # a hash of one set alone is never shared
-        place = np.cumsum(keep) - 1
-        chosen = keep[column]
-        row, column = row[chosen], place[column[chosen]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        shared, step = np.zeros((len(left), len(right)), np.float64), max(256, 8_000_000 // (len(left) + len(right)))
-        for at in range(0, int(keep.sum()), step):
-            lo, hi = np.searchsorted(column, [at, at + step])
-            ones = np.zeros((len(left) + len(right), step), np.float32)
-            ones[row[lo:hi], column[lo:hi] - at] = 1
-            shared += ones[: len(left)] @ ones[len(left) :].T
+    counted by products of 0/1 matrices, some columns at a time. ``right`` may be ``left`` itself."""
+    sets = left if right is left else [*left, *right]
+    sizes, n = np.array([len(s) for s in sets]), len(left)
+    sizes_l, sizes_r = sizes[:n], sizes[len(sets) - len(right) :]
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    keep = np.bincount(column, minlength=len(values)) > 1  # a hash of one set alone is never shared
+    place = np.cumsum(keep) - 1
+    chosen = keep[column]
+    row, column = row[chosen], place[column[chosen]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width, step = int(keep.sum()), max(256, 4_000_000 // len(sets))
+    shared = np.zeros((n, len(right)), np.float64)
+    for at in range(0, width, step):
+        lo, hi = np.searchsorted(column, [at, at + step])
+        ones = np.zeros((len(sets), min(step, width - at)), np.float32)
+        ones[row[lo:hi], column[lo:hi] - at] = 1
+        shared += ones @ ones.T if right is left else ones[:n] @ ones[n:].T
+    if right is left:
+        np.fill_diagonal(shared, sizes)
     union = sizes_l[:, None] + sizes_r[None, :] - shared
     return np.argwhere((100 * shared >= percent * union) & (shared > 0))
 
 
-def _spanning(pairs: list[tuple], nodes: list[int], known: list[int] | None = None) -> list[tuple]:
-    """At most one link for each node that joins what ``pairs`` join; nodes of one known component are joined."""
-    parent: dict = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    out = []
-    for i, j in pairs:
-        a, b = (("c", known[i]), ("c", known[j])) if known else (i, j)
-        a, b = root(a), root(b)
-        if a != b and nodes[i] != nodes[j]:
-            parent[a] = b
-            out.append((nodes[i], nodes[j]))
+def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Of pairs of numbers below n, those of a spanning forest: at most one for each number."""
+    adjacent = np.zeros((n, n), bool)
+    adjacent[pairs[:, 0], pairs[:, 1]] = adjacent[pairs[:, 1], pairs[:, 0]] = True
+    unseen, out = np.ones(n, bool), []
+    for first in np.unique(pairs).tolist():
+        ahead = [first] if unseen[first] else []
+        unseen[first] = False
+        while ahead:
+            i = ahead.pop()
+            new = np.flatnonzero(adjacent[i] & unseen).tolist()
+            unseen[new] = False
+            out += [(i, j) for j in new]
+            ahead += new
     return out
 
 
@@ -182,7 +199,9 @@ def _verified(width: int, percent: int):
         """rows: (node, text) -> links"""
         sets = {(node, s.tobytes()): s for node, text in rows if len(s := shingles(text, width, hashes))}
         nodes, own = [k[0] for k in sets], list(sets.values())
-        return _spanning(similar_pairs(own, own, percent).tolist(), nodes) if len(set(nodes)) > 1 else []
+        if len(set(nodes)) < 2:
+            return []
+        return [(nodes[i], nodes[j]) for i, j in _forest(similar_pairs(own, own, percent), len(own)) if nodes[i] != nodes[j]]
 
     return work
 
@@ -195,9 +214,13 @@ def _crossed(width: int, percent: int):
         right = [r for r in own if r[0] == 1] or left
         if not left:
             return []
-        every = left + right
-        pairs = [(i, len(left) + j) for i, j in similar_pairs([r[3] for r in left], [r[3] for r in right], percent).tolist() if left[i][2] != right[j][2]]
-        return _spanning(pairs, [r[1] for r in every], [r[2] for r in every])
+        sets = [r[3] for r in left]
+        pairs = similar_pairs(sets, sets if right is left else [r[3] for r in right], percent)
+        names, at = np.unique([r[2] for r in left] + [r[2] for r in right], return_inverse=True)
+        met = np.stack([at[: len(left)][pairs[:, 0]], at[len(left) :][pairs[:, 1]]], axis=1)
+        apart = met[:, 0] != met[:, 1]
+        example = {tuple(sorted(m)): (left[i][1], right[j][1]) for m, (i, j) in zip(met[apart].tolist(), pairs[apart].tolist(), strict=True)}
+        return [example[min(i, j), max(i, j)] for i, j in _forest(met[apart], len(names))]
 
     return work
 
@@ -213,47 +236,69 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     classes = full.groupBy("set_key").agg(F.min(F.struct("id", "signature", "bands")).alias("first")).select("set_key", "first.*")
     classes = as_table(classes, "classes")
     banded = classes.select(F.explode("bands").alias("h"), F.col("id").alias("node"))
-    mark = lambda seed: F.sum(F.shiftright(F.xxhash64("node", F.lit(seed)), 8)).alias(f"f{seed}")
-    groups = banded.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader"), mark(1), mark(2)).where("m > 1")
+    groups = banded.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader"), _mark("node", 1), _mark("node", 2)).where("m > 1")
     groups = groups.groupBy("m", "f1", "f2", "leader").agg(F.min("h").alias("h")).select("h", "m", "leader")
     members = as_table(banded.join(groups, "h"), "members")
-    alone = members.where(F.col("m") <= block)
-    signed = alone.select("h", "node").join(classes.select(F.col("id").alias("node"), "signature"), "node")
-    near = grouped(signed.select("h", F.col("h").alias("g"), "node", "signature"), ["h"], _resembling, "h long, node long")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    of_block = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
     many = members.where(F.col("m") > block)
-    leaders = many.groupBy("h").agg(F.first("m").alias("m"), F.first("leader").alias("node")).select("h", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / block).cast("int") - 1)).alias("b"), "node")
-    dealt = near.select("h", F.lit(0).alias("b"), "node").union(many.select("h", of_block.alias("b"), "node")).union(leaders).distinct()
-    dealt = as_table(dealt, "dealt")
-    nodes = dealt.select(F.col("node").alias("id")).distinct()
-    # rows of one id and text are one; the texts of candidates alone are needed. Candidates grow with the input, so the
-    # joins are shuffled at every size
+    # a large group's members are dealt into blocks; its leader is in each of them
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int"))
+    placed = members.select("h", F.explode(F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), blocks - 1)).otherwise(own)).alias("b"), "node")
+    signatures = classes.select(F.col("id").alias("node"), "signature")
+    signed = placed.join(signatures, "node").select("h", "b", F.col("h").alias("g"), F.col("b").alias("c"), "node", "signature")
+    dealt = as_table(grouped(signed, ["h", "b"], _resembling, "h long, b int, node long"), "dealt")
+    nodes = dealt.select(F.col("node").alias("id")).union(many.select("node")).distinct()
+    # rows of one id and text are one; the texts of candidates alone are needed, and written once for both rounds.
+    # Candidates grow with the input, so the joins are shuffled at every size
     texts = source.join(nodes.hint("merge"), "id", "left_semi").groupBy("id", F.xxhash64("text").alias("t1"), F.crc32(F.col("text").cast("binary")).alias("t2")).agg(F.first("text").alias("text")).select(F.col("id").alias("node"), "text")
+    texts = as_table(texts, "texts")
     links = grouped(dealt.hint("merge").join(texts, "node").select("h", "b", "node", "text"), ["h", "b"], _verified(width, percent), LINK, WordHashes)
     links = as_table(links, "verified")
     component = as_table(connected_components(links), "components")
     if many.limit(1).count():
-        links = as_table(links.union(_left_apart(many, component, texts, block, width, percent)), "verified")
+        links = as_table(links.union(_left_apart(many, classes, component, texts, block, width, percent)), "verified")
         component = as_table(connected_components(links), "components")
     of_class = classes.select("set_key", F.col("id").alias("node")).join(component, "node", "left").select("set_key", F.coalesce("component", "node").alias("c"))
     found = sets.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     return found.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
 
 
-def _left_apart(many: DataFrame, component: DataFrame, texts: DataFrame, block: int, width: int, percent: int) -> DataFrame:
+def _mark(node: str, seed: int) -> Column:
+    """Hashes by exclusive or: equal for groups of the same members, and never too large."""
+    return F.bit_xor(F.xxhash64(node, F.lit(seed))).alias(f"f{seed}")
+
+
+def _uneven(placed: DataFrame, block: int) -> DataFrame:
+    """Groups of ``placed`` (h, node, c) with more than one component: the largest, and how many blocks those outside of
+    it and those within fill. Groups of the same members count once."""
+    counts = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), _mark("node", 1), _mark("node", 2))
+    largest = counts.groupBy("h").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("m"), F.bit_xor("f1").alias("f1"), F.bit_xor("f2").alias("f2")).where("top.n < m")
+    largest = largest.groupBy("m", "f1", "f2", "top").agg(F.min("h").alias("h"))
+    return largest.select("h", F.col("top.c").alias("top"), F.ceil((F.col("m") - F.col("top.n")) / block).cast("int").alias("outer"), F.ceil(F.col("top.n") / block).cast("int").alias("inner"))
+
+
+def _left_apart(many: DataFrame, classes: DataFrame, component: DataFrame, texts: DataFrame, block: int, width: int, percent: int) -> DataFrame:
     """Links between members of large groups that are in different components so far. Members outside of a group's
-    largest component meet each other and all of that component, in pairs of blocks."""
+    largest component meet each other and all of that component, in pairs of blocks: by their signatures first, then
+    those that resemble in full. Where those outside fill more than one block, the group is split by a second band
+    before that, as two similar sets share more than one."""
     placed = many.select("h", "node").join(component, "node", "left").select("h", "node", F.coalesce("component", "node").alias("c"))
-    counts = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("h").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("m"))
-    largest = largest.where("top.n < m").select("h", F.col("top.c").alias("top"), F.ceil((F.col("m") - F.col("top.n")) / block).cast("int").alias("outer"), F.ceil(F.col("top.n") / block).cast("int").alias("inner"))
-    sided = as_table(placed.join(largest, "h"), "apart")
+    placed = as_table(placed, "placed")
+    uneven = as_table(_uneven(placed, block), "uneven")
+    sided = placed.join(uneven.where("outer = 1"), "h")
+    wide = uneven.where("outer > 1").select("h")
+    if wide.limit(1).count():
+        second = classes.select(F.col("id").alias("node"), F.explode("bands").alias("s"))
+        parts = placed.join(wide, "h", "left_semi").join(second, "node").where("h <> s")
+        parts = as_table(parts.select(F.xxhash64(F.least("h", "s"), F.greatest("h", "s")).alias("h"), "node", "c").distinct(), "parts")
+        sided = sided.union(parts.join(_uneven(parts, block), "h"))
     # blocks 0 .. outer-1 hold those outside, outer .. outer+inner-1 the largest component
     own = F.when(F.col("c") == F.col("top"), F.col("outer") + F.pmod(F.xxhash64("node", F.lit(4)), F.col("inner"))).otherwise(F.pmod(F.xxhash64("node", F.lit(4)), F.col("outer"))).cast("int")
     others = F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)
-    dealt = sided.select("h", "node", "c", "outer", own.alias("own"), F.explode(others).alias("other")).where("own < outer OR other < outer")
-    dealt = dealt.select("h", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "c")
+    dealt = sided.select("h", "node", "c", "outer", "inner", own.alias("own")).join(classes.select(F.col("id").alias("node"), "signature"), "node").withColumn("other", F.explode(others)).where("own < outer OR other < outer")
+    keys = [F.least("own", "other"), F.greatest("own", "other")]
+    dealt = dealt.select("h", keys[0].alias("b1"), keys[1].alias("b2"), F.col("h").alias("g"), keys[0].alias("c1"), keys[1].alias("c2"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "c", "signature")
+    dealt = grouped(dealt, ["h", "b1", "b2"], _resembling_across, "h long, b1 int, b2 int, side int, node long, c long")
     return grouped(dealt.hint("merge").join(texts, "node").select("h", "b1", "b2", "side", "node", "c", "text"), ["h", "b1", "b2"], _crossed(width, percent), LINK, WordHashes)
 
 

@@ -106,3 +106,16 @@ def test_signatures_filter_unrelated_long_texts():
     sets.append(np.concatenate([sets[3][:2700], rng.integers(0, 2**64, 300, np.uint64)]))
     rows = [(0, node, neardup.signature_of(minhash.of(s))) for node, s in enumerate(sets)]
     assert [node for _, node in neardup._resembling(rows, None)] == [3, 20]
+
+
+def test_large_group_of_which_little_resembles(spark):
+    """A band that all members share: 40 unrelated sets among which are three pairs, in blocks of 4 (so those left apart
+    fill many blocks, and a second band parts them)."""
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, *(f"x{n}" for n in rng.integers(0, 10**9, 40))])) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in (5, 17, 39)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, width=4, block=4).collect()}
+    assert got == brute(rows, 4)
+    assert {got[i][1] for i in (105, 117, 139)} == {5, 17, 39}
