@@ -3,9 +3,11 @@
 Base expressions and wider, overlapping generators propose spans; each candidate has small integer features of its
 format (kind, digits, separators, checksum or range validity, a leading plus) and context (key words before it, the
 characters around it). Feature vectors are few, so the corpus is reduced to their counts, over all rows; boosted trees
-are fitted to these counts and applied as nested CASE expressions. A candidate counts as positive in training if a base
+are fitted to these counts, and their scores of all feature vectors are a constant array. A candidate counts as positive in training if a base
 match holds it or a key word of its kind stands before it; SEEDS add formats that base matches cannot confirm. For each
-kind the lowest threshold with enough precision selects what is added. Base spans always stay.
+kind the lowest threshold with enough precision, on rows held back for this, selects what is added. Base spans always
+stay. Spans are placed, compared and chosen while they are read by start, so that a text of many matches takes time in
+proportion to them.
 
 Defined results: a null text is empty and has no spans; spans are code points, end exclusive, by start, then kind in
 the order of KINDS; of overlapping added spans the best score wins, and none overlaps a base span; repeated rows are
@@ -15,6 +17,8 @@ same name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,13 +70,38 @@ SEEDS = [
 ROUNDS, DEPTH, RATE, PRECISION = 40, 3, 0.3, 0.9
 
 
-def _running(lengths: Column, block: int = 64) -> Column:
-    """The sum of the entries before each, by blocks, so that appending stays cheap in texts of many matches."""
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
-    sums = lambda xs, first: F.aggregate(xs, F.array(first), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    starts = sums(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)), F.lit(0))
-    return F.flatten(F.transform(blocks, lambda x, i: F.slice(sums(x, F.get(starts, i)), F.lit(1), F.size(x))))
+BLOCK = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with ``value`` evaluated once for each row, however often the body has it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(xs: Column) -> Column:
+    """``xs``, which must be bound, in pieces of BLOCK entries."""
+    return F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array(xs))
+
+
+def _scan(xs: Column, state: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """emit(state, x) for each entry, an array of ``kind``, where step(state, x) is the next entry's state. Entries are
+    appended by blocks, so that texts of many matches take time in proportion."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    pair = lambda s, out: F.struct(s.alias("s"), out.alias("out"))
+
+    def within(a: Column, x: Column) -> Column:
+        return pair(step(a["s"], x), F.concat(a["out"], F.array(emit(a["s"], x).cast(kind))))
+
+    def across(a: Column, block: Column) -> Column:
+        return _let(F.aggregate(block, pair(a["s"], none), within), lambda b: pair(b["s"], F.concat(a["out"], F.array(b["out"]))))
+
+    nested = F.expr(f"cast(array() as array<array<{kind}>>)")
+    return _let(xs, lambda bound: F.flatten(F.aggregate(_blocks(bound), pair(state, nested), across)["out"]))
+
+
+def _distinct(xs: Column) -> Column:
+    """Sorted entries without repeats; array_distinct compares all pairs of structs."""
+    return _let(F.sort_array(xs), lambda bound: F.filter(bound, lambda x, i: (i == 0) | (x != F.get(bound, i - 1))))
 
 
 PLACED = "array<struct<start: int, end: int, match: string, left: string, right: string>>"
@@ -82,18 +111,16 @@ def placed(text: Column, pattern: str, found: Column) -> Column:
     """All matches, of which ``found`` has the strings, as (start, end, match, left, right): 40 characters before (within
     the gap) and the one after. Places come from the lengths of matches and of the gaps between them."""
 
-    def places(gap: Column) -> Column:
-        before = _running(F.zip_with(gap, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))))
-        return F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+    def one(gap: Column) -> Column:
+        sizes = F.zip_with(gap, found, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m")))
+        starts = _scan(sizes, F.lit(0), lambda a, x: a + x["g"] + x["m"], lambda a, x: a + x["g"], "int")
 
-    def one(gap: Column):
         def row(x: Column, i: Column) -> Column:
-            start = x["b"] + F.length(F.get(gap, i))
-            return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("match"), F.right(F.get(gap, i), F.lit(40)).alias("left"), F.left(F.get(gap, i + 1), F.lit(1)).alias("right"))
+            return F.struct(x["b"].alias("start"), (x["b"] + F.length(x["m"])).alias("end"), x["m"].alias("match"), F.right(F.get(gap, i), F.lit(40)).alias("left"), F.left(F.get(gap, i + 1), F.lit(1)).alias("right"))
 
-        return F.transform(places(gap), row)
+        return F.transform(F.zip_with(found, F.slice(starts, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b"))), row)
 
-    return F.when(F.size(found) > 0, F.transform(F.array(F.split(text, pattern, -1)), one)[0]).otherwise(F.lit(None).cast(PLACED))
+    return F.when(F.size(found) > 0, _let(F.split(text, pattern, -1), one)).otherwise(F.lit(None).cast(PLACED))
 
 
 def _digits(match: Column) -> Column:
@@ -188,19 +215,18 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     base = [F.coalesce(F.transform(F.filter(f"__b{i}__", passes(k)), as_span(i)), no_base) for i, k in enumerate(KINDS[:BASE_KINDS])]
     made = [F.coalesce(F.transform(f"__g{i}__", featured(k)), no_code) for i, (k, _) in enumerate(GENERATORS)]
     kept = [c for c in docs.columns if c.lower() not in ("base", "proposed")]
-    return found.select(*[F.col(quoted(c)) for c in kept], F.concat(*base).alias("base"), F.array_distinct(F.concat(*made)).alias("proposed"))
+    return found.select(*[F.col(quoted(c)) for c in kept], F.concat(*base).alias("base"), _distinct(F.concat(*made)).alias("proposed"))
 
 
 # Boosting ----------------------------------------------------------------------------------------------------------
 
 
 class Trees:
-    """Gradient-boosted trees of logistic loss on counted feature vectors, and a threshold for each kind."""
+    """Gradient-boosted trees of logistic loss on counted feature vectors, and a threshold for each kind, from counts of
+    rows that were held back for this and from SEEDS."""
 
-    def __init__(self, codes: list[int], positives: list[int], totals: list[int]):
-        sizes = [int(np.prod(CARDINALITY[i + 1 :])) for i in range(len(CARDINALITY))]
-        rows = [[c // s % n for s, n in zip(sizes, CARDINALITY, strict=True)] for c in codes] + [list(f) for f, _, _ in SEEDS]
-        self.x = np.array(rows).reshape(-1, len(CARDINALITY))
+    def __init__(self, codes: list[int], positives: list[int], totals: list[int], held: tuple[list[int], list[int], list[int]] = ((), (), ())):
+        self.x = np.concatenate([_vectors(codes), np.array([f for f, _, _ in SEEDS])])
         # a corpus count weighs as its square root, so that common formats don't drown rare ones
         n, p = np.array([*totals, *[w for *_, w in SEEDS]], float), np.array([*positives, *[w * y for _, y, w in SEEDS]], float)
         self.weight, self.rate = np.sqrt(n) * np.where(np.arange(len(n)) < len(codes), 1, np.sqrt(n)), p / n
@@ -211,7 +237,14 @@ class Trees:
             tree = self._grow(np.arange(len(self.x)), self.weight * (self.rate - prob), self.weight * prob * (1 - prob), DEPTH)
             self.trees.append(tree)
             score += self._apply(tree, self.x)
-        self.thresholds = [self._threshold(1 / (1 + np.exp(-score)), self.x[:, 0] == k) for k in range(len(KINDS))]
+        # the thresholds come from rows held back, and from the formats of SEEDS
+        others, seeds = np.concatenate([_vectors(held[0]), self.x[len(codes) :]]), slice(len(codes), None)
+        n, p = np.array(held[2], float), np.array(held[1], float)
+        weight, rate = np.concatenate([np.sqrt(n), self.weight[seeds]]), np.concatenate([p / n, self.rate[seeds]])
+        self.thresholds = [self._threshold(k, self.probabilities(others), weight, rate, others[:, 0]) for k in range(len(KINDS))]
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-sum((self._apply(t, x) for t in self.trees), np.zeros(len(x)))))
 
     def _grow(self, rows: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int):
         value = lambda r: RATE * grad[r].sum() / (hess[r].sum() + 1)
@@ -234,56 +267,96 @@ class Trees:
         f, cut, low, high = tree
         return np.where(x[:, f] <= cut, self._apply(low, x), self._apply(high, x))
 
-    def _threshold(self, prob: np.ndarray, own: np.ndarray) -> float:
-        """The lowest score from which on the weighted precision is PRECISION; at least a half."""
-        order = np.argsort(-np.where(own, prob, -1))[: own.sum()]
-        w = self.weight[order]
-        precision = np.cumsum(w * self.rate[order]) / np.cumsum(w)
-        good = np.flatnonzero(precision >= PRECISION)
+    @staticmethod
+    def _threshold(kind: int, prob: np.ndarray, weight: np.ndarray, rate: np.ndarray, kinds: np.ndarray) -> float:
+        """The lowest score from which on the weighted precision of a kind is PRECISION; at least a half."""
+        own = np.flatnonzero(kinds == kind)
+        order = own[np.argsort(-prob[own], kind="stable")]
+        w = weight[order]
+        precision = np.cumsum(w * rate[order]) / np.cumsum(w)
+        last = np.append(np.diff(prob[order]) < 0, True)  # no threshold between equal scores
+        good = np.flatnonzero((precision >= PRECISION) & last)
         return max(0.5, float(prob[order[good[-1]]])) if len(good) else 1.0
 
     def score(self, code: Column) -> Column:
-        """The trees as nested CASE expressions of a packed code."""
-        features = unpacked(code)
+        """The score of a packed code. Feature vectors are few (the product of CARDINALITY), so the trees are applied to
+        each of them once, and a candidate looks its own up in a constant array."""
+        scores = self.probabilities(_vectors(np.arange(np.prod(CARDINALITY))))
+        return F.get(F.split(F.lit(",".join(f"{x:.9f}" for x in scores)), ",").cast("array<double>"), code)
+
 
-        def case(tree) -> Column:
-            if isinstance(tree, float):
-                return F.lit(tree)
-            f, cut, low, high = tree
-            return F.when(features[f] <= cut, case(low)).otherwise(case(high))
+def _vectors(codes) -> np.ndarray:
+    """The features of packed codes, a row for each."""
+    sizes = [int(np.prod(CARDINALITY[i + 1 :])) for i in range(len(CARDINALITY))]
+    return np.array(codes, np.int64).reshape(-1, 1) // sizes % CARDINALITY
 
-        total = F.lit(0.0)
-        for tree in self.trees:
-            total = total + case(tree)
-        return 1 / (1 + F.exp(-total))
+
+SPAN = "struct<start: int, later: int, end: int, kind: int, code: int>"
+
+
+def _events(base: str, proposed: str) -> Column:
+    """Base spans (later = 0) and candidates (later = 1) by start; of one start, base spans first."""
+    made = lambda of, later, code: F.transform(of, lambda c: F.struct(c["start"].alias("start"), F.lit(later).alias("later"), c["end"].alias("end"), c["kind"].alias("kind"), code(c).alias("code")))
+    return F.sort_array(F.concat(made(base, 0, lambda c: F.lit(0)), made(proposed, 1, lambda c: c["code"])))
+
+
+def _held(base: str, proposed: str) -> Column:
+    """Candidates as (code, held): whether a base span of the same kind holds them. Base spans of one kind don't overlap,
+    so it's the last one before; its end is kept for each kind while the spans are read by start."""
+    ends = lambda of: F.struct(*[of(k).alias(f"e{k}") for k in range(BASE_KINDS)])
+    step = lambda s, x: ends(lambda k: F.when((x["later"] == 0) & (x["kind"] == k), x["end"]).otherwise(s[f"e{k}"]))
+    last = lambda s, x: F.coalesce(*[F.when(x["kind"] == k, s[f"e{k}"]) for k in range(BASE_KINDS)], F.lit(-1))
+    seen = _scan(_events(base, proposed), ends(lambda k: F.lit(-1)), step, lambda s, x: F.struct(x["later"].alias("later"), x["code"].alias("code"), (x["end"] <= last(s, x)).alias("held")), "struct<later: int, code: int, held: boolean>")
+    return F.filter(seen, lambda c: c["later"] == 1)
+
+
+def _clear(base: str, proposed: str) -> Column:
+    """Candidates, by start, that touch no base span: none that began before ends behind their start, and none begins
+    before their end."""
+    ahead = _scan(_events(base, proposed), F.lit(-1), lambda s, x: F.when(x["later"] == 0, F.greatest(s, x["end"])).otherwise(s), lambda s, x: F.when((x["later"] == 1) & (x["start"] < s), None).otherwise(x), SPAN)
+    back = _scan(F.reverse(F.filter(ahead, lambda x: x.isNotNull())), F.lit(2**31 - 1), lambda s, x: F.when(x["later"] == 0, x["start"]).otherwise(s), lambda s, x: F.when((x["later"] == 1) & (x["end"] <= s), x), SPAN)
+    return F.reverse(F.filter(back, lambda x: x.isNotNull()))
+
+
+RATED = "struct<rank: double, start: int, till: int, kind: int, end: int>"
+
+
+def _best(rated: Column) -> Column:
+    """Of spans by start, the best first, each that touches none chosen so far. Spans are parted where nothing reaches
+    over a gap; within a part all are compared with those chosen."""
+    touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    none = F.expr(f"cast(array() as array<{RATED}>)")
+    fresh = lambda s, x: x["start"] >= s["end"]
+    state = lambda end, part: F.struct(end.alias("end"), part.alias("part"))
+    step = lambda s, x: F.when(fresh(s, x), state(x["end"], F.array(x))).otherwise(state(F.greatest(s["end"], x["end"]), F.concat(s["part"], F.array(x))))
+    # a last entry behind all others ends the last part
+    ended = F.concat(rated, F.array(F.struct(F.lit(0.0), F.lit(2**31 - 1), F.lit(0), F.lit(0), F.lit(2**31 - 1)).cast(RATED)))
+    parts = _scan(ended, state(F.lit(-1), none), step, lambda s, x: F.when(fresh(s, x), s["part"]).otherwise(none), f"array<{RATED}>")
+    chosen = lambda part: F.aggregate(F.sort_array(part), none, lambda kept, c: F.when(F.exists(kept, lambda o: touches(o, c)), kept).otherwise(F.concat(kept, F.array(c))))
+    return F.flatten(F.transform(parts, lambda p: F.when(F.size(p) > 1, chosen(p)).otherwise(p)))
 
 
 def fit(found: DataFrame) -> Trees:
-    """From the result of candidates(); its rows are counted by feature vector, of which there are at most a fixed number."""
-    inside = F.transform("proposed", lambda c: F.struct(c["code"].alias("code"), F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] <= c["start"]) & (c["end"] <= b["end"])).alias("held")))
-    seen = found.where(F.size("proposed") > 0).select(F.explode(inside).alias("c")).select("c.*")
-    context = unpacked(F.col("code"))[FEATURES.index("context")]
-    label = (F.col("held") | ((context == 2) & (unpacked(F.col("code"))[FEATURES.index("valid")] == 1))).cast("long")
-    rows = seen.groupBy("code").agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n")).orderBy("code").collect()
-    return Trees([r["code"] for r in rows], [r["p"] for r in rows], [r["n"] for r in rows])
+    """From the result of candidates(); its rows are counted by feature vector, of which there are at most a fixed number.
+    Rows of a quarter, by a hash of their candidates, are held back for the thresholds."""
+    part = (F.pmod(F.xxhash64("proposed"), F.lit(4)) == 0).alias("back")
+    seen = found.where(F.size("proposed") > 0).select(part, F.explode(_held("base", "proposed")).alias("c")).select("back", "c.*")
+    features = unpacked(F.col("code"))
+    label = (F.col("held") | ((features[FEATURES.index("context")] == 2) & (features[FEATURES.index("valid")] == 1))).cast("long")
+    rows = seen.groupBy("back", "code").agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n")).orderBy("code").collect()
+    counts = lambda back: tuple([r[c] for r in rows if r["back"] == back] for c in ("code", "p", "n"))
+    return Trees(*counts(False), counts(True))
 
 
 def select_spans(found: DataFrame, trees: Trees) -> DataFrame:
     """The result of candidates() with spans, (start, kind number, end, kind), in place of proposed."""
-    codes = F.array_distinct(F.transform("proposed", lambda c: c["code"]))
-    scored = found.withColumn("__scores__", F.map_from_arrays(codes, F.transform(codes, trees.score)))
     limits = F.array(*[F.lit(t) for t in trees.thresholds])
-    score = lambda c: F.element_at("__scores__", c["code"])
-    touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    rated = F.transform("proposed", lambda c: F.struct((-score(c)).alias("rank"), c["start"].alias("start"), (-c["end"]).alias("till"), c["kind"].alias("kind"), c["end"].alias("end")))
-    good = F.filter(rated, lambda c: (-c["rank"] >= F.get(limits, c["kind"])) & ~F.exists("base", lambda b: touches(b, c)))
-    scored = scored.withColumn("__good__", F.when(F.size("proposed") > 0, good).otherwise(F.expr("cast(array() as array<struct<rank: double, start: int, till: int, kind: int, end: int>>)")))
-    # best first, each that touches none chosen so far
-    none = F.filter("__good__", lambda c: F.lit(False))
-    added = F.aggregate(F.array_sort("__good__"), none, lambda kept, c: F.when(F.exists(kept, lambda o: touches(o, c)), kept).otherwise(F.concat(kept, F.array(c))))
+    rated = F.transform(_clear("base", "proposed"), lambda c: F.struct((-trees.score(c["code"])).alias("rank"), c["start"].alias("start"), (-c["end"]).alias("till"), c["kind"].alias("kind"), c["end"].alias("end")))
+    scored = found.withColumn("__good__", F.when(F.size("proposed") > 0, F.filter(rated, lambda c: -c["rank"] >= F.get(limits, c["kind"]))).otherwise(F.expr(f"cast(array() as array<{RATED}>)")))
     names = F.array(*[F.lit(k) for k in KINDS])
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("number"), c["end"].alias("end"), F.get(names, c["kind"]).alias("kind"))
-    return scored.withColumn("spans", F.array_sort(F.concat(F.transform("base", span), F.transform(added, span)))).drop("__scores__", "__good__", "proposed")
+    added = F.when(F.size("__good__") > 0, _best(F.col("__good__"))).otherwise(F.col("__good__"))
+    return scored.withColumn("spans", F.sort_array(F.concat(F.transform("base", span), F.transform(added, span)))).drop("__good__", "proposed")
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -317,6 +390,6 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = select_spans(found, fit(found))
     names = F.array(*[F.lit(k) for k in KINDS])
     count = lambda i: F.size(F.filter("base", lambda b: b["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
-    ordered = F.array_sort(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))))
+    ordered = F.sort_array(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))))
     listed = lambda of, kind: F.array_join(F.transform(of, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
     return made.select("doc_id", *[count(i) for i in range(BASE_KINDS)], F.sha2(listed(ordered, lambda s: F.get(names, s["kind"])).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans"), lambda s: s["kind"]).alias("spans"))

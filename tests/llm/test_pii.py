@@ -113,8 +113,32 @@ def test_a_suppressed_span_suppresses_nothing(spark):
     rows = [(0, [], chain), (1, [], []), (2, [(0, 5, 9)], chain)]
     for i in range(3, 60):
         made = [(rng.randrange(6), s, s + rng.randint(1, 12), rng.randrange(100)) for s in (rng.randrange(60) for _ in range(rng.randint(0, 25)))]
-        rows.append((i, [], list(set(made))))
+        held = [(k, s + 7 * k, s + 7 * k + 4) for k, s in ((rng.randrange(4), rng.randrange(40)) for _ in range(rng.randint(0, 2)))]
+        rows.append((i, held, list(set(made))))
     df = spark.createDataFrame(rows, "id long, base array<struct<kind: int, start: int, end: int>>, proposed array<struct<kind: int, start: int, end: int, code: int>>")
     got = {r["id"]: [(s["start"], s["number"], s["end"]) for s in r["spans"]] for r in pii.select_spans(df, ByCode()).collect()}
     assert got[0] == [(0, 4, 10), (18, 4, 30)]
     assert got == {i: greedy(base, proposed) for i, base, proposed in rows}
+
+
+def test_texts_of_many_matches(spark):
+    """20,000 addresses, and a chain of thousands of candidates that overlap, in one text each."""
+    many = " ".join(f"10.{i % 256}.{i // 256}.7" for i in range(20_000))
+    chain = "1234 5678 " * 1500
+    rows = {r["id"]: r for r in pii.find_pii(spark.createDataFrame([(1, many), (2, chain)], "id long, text string")).collect()}
+    ips = [(s["start"], s["end"]) for s in rows[1]["spans"] if s["kind"] == "ip"]
+    assert ips == [m.span() for m in re.finditer(PATTERNS["ip"], many)]
+    spans = [(s["start"], s["end"]) for s in rows[2]["spans"]]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_thresholds_come_from_rows_held_back():
+    """A vector that is positive where the trees are fitted and negative where it is held back is not selected."""
+    sizes = [1]
+    for n in reversed(pii.CARDINALITY[1:]):
+        sizes.insert(0, sizes[0] * n)
+    code = sum(f * s for f, s in zip((3, 10, 1, 1, 0, 2, 1, 1), sizes, strict=True))
+    agreed, contrary = pii.Trees([code], [400], [400], ([code], [90], [90])), pii.Trees([code], [400], [400], ([code], [0], [90]))
+    prob = agreed.probabilities(pii._vectors([code]))[0]
+    assert agreed.thresholds[3] <= prob
+    assert contrary.thresholds[3] > prob
