@@ -65,7 +65,7 @@ RULES: list[tuple[str, tuple[str, ...], bytes, Callable[[re.Match], bool], bool]
     ("pay_key", ("sk_live_", "rk_live_"), rb"[sr]k_live_[0-9A-Za-z]{16,}", _mixed, False),
     ("map_key", ("aiza",), rb"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])", _mixed, False),
     ("lab_token", ("glpat-",), rb"glpat-[0-9A-Za-z_-]{20,}", _mixed, False),
-    ("web_token", ("eyj",), rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", _json_header, False),
+    ("web_token", ("eyj",), rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", _json_header, False),
     ("bearer", ("bearer ",), rb"(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}=*", _mixed, False),
     ("url_login", ("://",), rb"://[^\s/:@\"'<>]{1,64}:[^\s/@\"'<>]{3,128}@[A-Za-z0-9.-]+", _always, False),
     ("private_key", ("-----begin ",), rb"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END ([A-Z]+ )*PRIVATE KEY-----)?", _always, False),
