@@ -5,7 +5,9 @@ of a benchmark item; an item of fewer words (but not none) is one window. A docu
 window is hit; a document is contaminated if it has hits that make up at least a twentieth of its words.
 
 Defined results: null or empty texts have no words, no hits and are kept; null or empty items give no windows; rows of
-one item_id count as one item; repeated document rows give repeated result rows; an empty table gives an empty result.
+one item_id count as one item; windows of a null item_id hit words, but name no item; repeated document rows give
+repeated result rows; very long texts are scanned whole; an empty table gives an empty result; extra columns stay, and
+give way to an output of the same name (decontaminate() keeps all).
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import alnum_words, as_table, quoted, rolling, table, with_outputs
 
 WINDOW = 13
-#: The set is broadcast only if the benchmark has at most so many bytes of text; beyond, windows are joined.
-MAX_BROADCAST_BYTES = 64 << 20
+#: The set is broadcast only if the benchmark has at most so many bytes of text; beyond, windows are joined. A window takes
+#: some 400 bytes of a Python worker, and there is about one for 6 bytes of text: 4 MB of text are some 300 MB there.
+MAX_BROADCAST_BYTES = 4 << 20
 
 
 class WindowSet:
@@ -82,7 +85,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     if size > max_broadcast_bytes:
         return _joined_hits(docs, items, text, window)
-    known = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(F.col("item").isNotNull()).collect()])
+    known = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
 
     def make():
         windows = WindowSet(known.value, window)
@@ -93,7 +96,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
                 words = alnum_words(t)
                 hit, found = windows.scan(words)
                 n_hit = int(hit.sum())
-                for column, value in zip(out, (len(words), n_hit, _intervals(hit) if n_hit else [], sorted(found)), strict=True):
+                for column, value in zip(out, (len(words), n_hit, _intervals(hit) if n_hit else [], sorted(found - {None})), strict=True):
                     column.append(value)
             return out
 
@@ -123,7 +126,7 @@ def _joined_hits(docs: DataFrame, items: DataFrame, text: str, window: int) -> D
         return make
 
     fields = f"n_words long, windows {spans}"
-    bench = with_outputs(items.where("item is not null"), "text", windows_of(None), fields).select("item", F.explode("windows").alias("w")).select("item", "w.size", "w.digest").distinct()
+    bench = with_outputs(items, "text", windows_of(None), fields).select("item", F.explode("windows").alias("w")).select("item", "w.size", "w.digest").distinct()
     bench = as_table(bench, "bench")
     sizes = [r["size"] for r in bench.select("size").distinct().collect()]  # at most `window` numbers
     keyed = docs.withColumn("__key__", F.md5(F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).cast("binary")))
