@@ -119,11 +119,13 @@ def with_outputs(df: DataFrame, text: str, make: Callable[[], Callable], fields:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir where the cluster sets it, else one of our own (tests)."""
+    """The shared folder: spark.checkpoint.dir where the cluster sets it, else one of our own; only a local master has that."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("tallyforge.scratch.dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             found = "file://" + tempfile.mkdtemp(prefix="spark-")

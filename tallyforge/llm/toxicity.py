@@ -223,7 +223,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     ids = learned.groupBy(F.col(quoted(id_col)).alias("__id__")).agg(F.max(quoted(label)).alias("__label__"))
     chosen = langid.sample_of(ids, "__label__", "__id__", most_labelled).limit(3 * most_labelled)
     rows = docs.select(F.col(quoted(id_col)).alias("__id__"), F.col(quoted(text)).cast("string").alias("text")).join(F.broadcast(chosen), "__id__")
-    rows = rows.where("text is not null").groupBy("__id__").agg(F.min(F.struct("text", "__label__")).alias("row")).select("__id__", "row.*").orderBy("__id__").collect()
+    rows = rows.where("text is not null").groupBy("__id__").agg(F.min(F.struct("text", "__label__")).alias("row")).select("__id__", "row.*")
+    # words become slots, and languages are told, on the executors: the driver gets 6 bytes for a word
+    known_languages = docs.sparkSession.sparkContext.broadcast(languages)
+
+    def make():
+        slots, identifier = WordSlots(), langid.Identifier(known_languages.value)
+        return lambda texts: [[slots.of(alnum_words(t)).tobytes() for t in texts], [identifier.predict(t)[0] for t in texts]]
+
+    rows = with_outputs(rows, "text", make, "slots binary, spoken string", drop=("text",)).orderBy("__id__").collect()
     y = np.array([r["__label__"] for r in rows])
     if len(set(y.tolist())) < 2:
         return ToxicityModel(None, languages)
@@ -231,11 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     if len(set(y[part].tolist())) < 2 or len(set(y[~part].tolist())) < 2:
         part[:] = False
     back = np.flatnonzero(part) if part.any() else np.arange(len(y))
-    identifier = langid.Identifier(languages)
-    spoken = np.array([identifier.predict(rows[i]["text"])[0] for i in back])
-    slots = WordSlots()
-    texts = [slots.of(alnum_words(r["text"])) for r in rows]
-    del rows, slots, identifier  # the texts themselves are of no more use
+    spoken = np.array([rows[i]["spoken"] for i in back])
+    texts = [np.frombuffer(r["slots"], np.uint16).reshape(-1, 3) for r in rows]
+    del rows
     network = train([t for t, p in zip(texts, part, strict=True) if not p], y[~part])
     scores, known = network.scores([texts[i] for i in back]), y[back]
     network.threshold = best_threshold(scores, known, np.ones(len(back)))

@@ -272,3 +272,101 @@ def test_toxicity_without_labels(spark):
     docs = frame(spark, ["a b", None])
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["predicted"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()] == [0, 0]
+
+
+# Sizes and odd rows ----------------------------------------------------------------------------------------------------
+
+
+def test_web_tokens_in_a_long_run():
+    """Each "eyJ" of a run was scanned to the run's end; a megabyte takes a second now, and a real token is still found."""
+    import time
+
+    began = time.time()
+    assert secrets.Scanner().spans("eyJ" * 350_000) == []
+    assert time.time() - began < 20
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcdefghijk"
+    assert ("web_token", 3, 3 + len(token)) in secrets.Scanner().spans(f"x: {token} " + "eyJ" * 1000)
+
+
+def letters(n):
+    return "".join(chr(97 + int(d)) for d in str(n))
+
+
+def test_four_hundred_languages(spark):
+    """Each of them is learned and predicted, from words of its own."""
+    rows = [(i, " ".join(f"x{letters(i % 400)}{w}" for w in ("na", "to", "ri")), f"l{i % 400}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 400
+    found = langid.identify(docs, model)
+    assert found.where("lang = lang_pred").count() == 4000
+    part = langid.sample_of(docs, "lang", "doc_id", 1500, most_rows=1200)
+    assert part.select("lang").distinct().count() > 300 and 900 < part.count() < 1500
+
+
+def backed_off(rows, word, longest=5):
+    """Log frequencies of a word by dictionaries."""
+    counts = {lang: [collections.Counter() for _ in range(longest + 1)] for lang, _ in rows}
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)] if n else [w]
+    for lang, text in rows:
+        for w in text.split():
+            for n in range(longest + 1):
+                counts[lang][n].update(grams(w, n))
+    for n in [0, *range(longest, 0, -1)]:
+        entries = set().union(*(c[n] for c in counts.values()))
+        known = [g for g in grams(word, n) if g in entries]
+        if known:
+            total = {k: sum(c[n].values()) + len(entries) / 2 for k, c in counts.items()}
+            return [sum(np.log((counts[k][n][g] + 0.5) / total[k]) for g in known) / len(known) for k in sorted(counts)]
+    return [0.0] * len(counts)
+
+
+def test_word_scores_equal_dictionaries():
+    rng = random.Random(4)
+    word = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6)))
+    rows = [(lang, " ".join(word(a) for _ in range(60))) for lang, a in (("a", "abc"), ("b", "bcd"), ("c", "xyza"))]
+    words = [word("abcdxyzq") for _ in range(200)] + ["qqq", "a"]
+    assert np.allclose(langid.LanguageModel(rows).word_scores(words), [backed_off(rows, w) for w in words])
+
+
+def test_network_equals_a_plain_convolution():
+    """Every window of every width, one after another, in float64."""
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 1 << toxicity.BITS, (n, 3)) for n in (0, 1, 2, 7, 30)] * 4
+    net = toxicity.train(docs, np.array([0, 1, 0, 1, 0] * 4))
+    for d, got in zip(docs, net.scores(docs), strict=True):
+        x = [np.concatenate([t[i] for t, i in zip(net.tables, row, strict=True)]).astype(float) for row in d]
+        x += [np.zeros(sum(t.shape[1] for t in net.tables))] * max(toxicity.WIDTHS)
+        pooled = []
+        for w, kernel, bias in zip(toxicity.WIDTHS, net.kernels, net.biases, strict=True):
+            windows = [sum(x[i + j] @ kernel[j].astype(float) for j in range(w)) for i in range(len(d) + 1)]
+            pooled.append(np.max(windows, axis=0) + bias)
+        logit = np.maximum(np.concatenate(pooled), 0) @ net.out + net.constant
+        assert abs(got - 1 / (1 + np.exp(-logit))) < 1e-4
+
+
+@pytest.mark.parametrize("limit", [decontaminate.MAX_BROADCAST_BYTES, 0])
+def test_windows_of_a_null_item_hit_words(spark, limit):
+    passage = " ".join(f"w{i}" for i in range(15))
+    bench = spark.createDataFrame([(None, passage), (2, "w1 w2")], "item_id long, text string")
+    r = decontaminate.find_hits(frame(spark, [passage]), bench, max_broadcast_bytes=limit).first()
+    assert (r["n_words"], r["n_hit"], r["items"]) == (15, 15, ["2"])
+    empty = frame(spark, ["x"]).where("false")
+    assert decontaminate.find_hits(empty, bench, max_broadcast_bytes=limit).count() == 0
+
+
+def test_empty_tables_repeated_rows_and_clashing_columns(spark):
+    path = packing.default_tokenizer()
+    empty = frame(spark, ["x"]).where("false")
+    model = langid.LanguageModel([("en", "the cat"), ("de", "der hund")])
+    assert packing.pack(empty, path).count() == 0
+    assert secrets.find_secrets(empty).count() == quality.assess(empty).count() == 0
+    twice = spark.createDataFrame([(1, "the cat " * 30_000)] * 2, "doc_id long, text string").withColumns({"Score": F.lit("a"), "Lang_Pred": F.lit("b")})
+    found = langid.identify(twice, model).collect()
+    assert [(r["lang_pred"], r["doc_id"]) for r in found] == [("en", 1)] * 2
+    assert [c.lower() for c in langid.identify(twice, model).columns].count("score") == 1
+    long = [r.asDict() for r in quality.assess(twice).collect()]
+    assert long[0] == long[1] and (long[0]["n_words"], long[0]["n_repeat_words"]) == (60_000, 60_000)
+    chats = spark.createDataFrame([(1, 0, "user", "hi", "x")], "conv_id long, turn long, role string, text string, ids string").withColumn("N_turns", F.lit(1))
+    vocabulary = chat.default_vocabulary()
+    assert chat.digest(chat.format_chats(chats, vocabulary), vocabulary).first()["n_turns"] == 1
