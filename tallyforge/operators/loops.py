@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> None:
         return
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
