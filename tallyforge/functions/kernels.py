@@ -180,3 +180,11 @@ def fold(surface: str, r: Column, c: Column, rows: Column, cols: Column) -> Colu
     c2 = F.when(over_r, cols - 1 - c1).otherwise(c1) if along == -1 else c1
     off = (over_c if across == 0 else F.lit(False)) | (over_r if along == 0 else F.lit(False))
     return F.when(~off, F.struct(r2.alias("r"), c2.alias("c")))
+
+
+def lucas_lehmer(p: Column) -> Column:
+    """Whether 2**p - 1 is prime, for an odd prime p up to 61."""
+    number = "decimal(19,0)"
+    modulus = (F.call_function("shiftleft", _long(1), p.cast("int")) - 1).cast(number)
+    step = lambda s, _: ((s * s + modulus - 2) % modulus).cast(number)
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), p.cast("long") - 2), F.lit(4).cast(number), step) == 0

@@ -144,3 +144,34 @@ def lucas_lehmer(exponents: DataFrame, column: str) -> DataFrame:
         return s == 0
 
     return exponents.withColumn("mersenne", passes(F.col(column).cast("long")))
+
+
+def gf2_kernel(df: DataFrame, row: str, mask: str, target: int) -> DataFrame:
+    """(rows, nullity, fewest_rows): the dimension of the sets of rows that cancel out over GF(2), and how many rows at
+    least add up to ``target`` (null if none do). At most 62 rows, of 64 bits; solutions are 2**nullity, and weighed by
+    Spark."""
+    masks = [r[mask] for r in df.select(row, mask).orderBy(row).limit(63).collect()]
+    if len(masks) > 62:
+        raise ValueError("more than 62 rows")
+    basis: list[tuple[int, int]] = []  # a reduced row and the rows that make it
+
+    def reduced(value: int, made_of: int) -> tuple[int, int]:
+        for v, m in basis:
+            if value ^ v < value:
+                value, made_of = value ^ v, made_of ^ m
+        return value, made_of
+
+    kernel = []
+    for i, value in enumerate(masks):
+        value, made_of = reduced(value & (2**64 - 1), 1 << i)
+        if value:
+            basis.append((value, made_of))
+            basis.sort(reverse=True)
+        else:
+            kernel.append(made_of)
+    left, one = reduced(target & (2**64 - 1), 0)
+    chosen = F.lit(one).cast("long")
+    for i, k in enumerate(kernel):
+        chosen = chosen.bitwiseXOR(F.when(K.bit(F.col("id"), F.lit(i)) == 1, F.lit(k).cast("long")).otherwise(F.lit(0).cast("long")))
+    sizes = df.sparkSession.range(2 ** len(kernel) if not left else 0).agg(F.min(F.bit_count(chosen)).cast("long").alias("fewest_rows"))
+    return sizes.select(F.lit(len(masks)).cast("long").alias("rows"), F.lit(len(kernel)).cast("long").alias("nullity"), "fewest_rows")

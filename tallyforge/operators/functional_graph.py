@@ -67,3 +67,18 @@ def report(stats: DataFrame, by: list[str]) -> DataFrame:
 def orbit(stats: DataFrame, key) -> DataFrame:
     """Tail, entry and cycle length of one key's walk."""
     return stats.where(F.col("key") == key).select("key", "tail", "entry", "cycle_len")
+
+
+def parameter_sums(times: DataFrame) -> DataFrame:
+    """For maps x * x + c modulo n with (n, c, times), a row for each n: graphs, lines (the sum of times), cycles, sum_rho
+    and weighted_rho (tails and cycle lengths of all walks, the latter by times), fixed points, and graphs that have one.
+    n, c and x are below 2**20; all graphs are analyzed as one, whose keys hold the three numbers."""
+    place = lambda x: F.col("n") * 2**40 + F.col("c") * 2**20 + x
+    keys = times.select("n", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("x"))
+    stats = analyze(keys.select(place(F.col("x")).alias("key"), place((F.col("x") * F.col("x") + F.col("c")) % F.col("n")).alias("nxt")))
+    own = stats.withColumns({"n": F.shiftright("key", 40), "c": F.shiftright("key", 20) % 2**20})
+    graphs = own.groupBy("n", "c").agg(F.countDistinct("cycle").alias("cycles"), F.sum(F.col("tail") + F.col("cycle_len")).alias("rho"), F.count_if(F.col("periodic") & (F.col("cycle_len") == 1)).alias("fixed"))
+    return graphs.join(times, ["n", "c"]).groupBy("n").agg(
+        F.count(F.lit(1)).alias("graphs"), F.sum("times").alias("lines"), F.sum("cycles").alias("cycles"), F.sum("rho").alias("sum_rho"), F.sum(F.col("rho") * F.col("times")).alias("weighted_rho"),
+        F.sum("fixed").alias("fixed"), F.count_if(F.col("fixed") > 0).alias("with_fixed"),
+    )

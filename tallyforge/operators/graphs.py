@@ -171,3 +171,81 @@ def breadth_first(edges: DataFrame, root: int) -> DataFrame:
 def degree_profile(edges: DataFrame) -> DataFrame:
     """(degree, nodes) of out-degrees."""
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def structure_report(relation: DataFrame) -> DataFrame:
+    """One row for a tournament's relation (a, b, rel): items, least_wins, most_wins, regular, transitive (no two have as
+    many wins), kings (who reach every other by one win or two) and blocks: prefixes of the ascending scores whose sum is
+    no more than their games among themselves."""
+    from pyspark.sql import Window
+
+    wins = cut(relation.where("rel = 1").select(F.col("a").alias("w"), F.col("b").alias("l")).union(relation.where("rel = -1").select(F.col("b").alias("w"), F.col("a").alias("l"))))
+    nodes = relation.select(F.col("a").alias("i")).union(relation.select("b")).distinct()
+    scores = cut(nodes.join(wins.groupBy(F.col("w").alias("i")).agg(F.count(F.lit(1)).alias("n")), "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("d")))
+    shape = scores.agg(F.count(F.lit(1)).alias("items"), F.min("d").alias("least_wins"), F.max("d").alias("most_wins"), (F.min("d") == F.max("d")).alias("regular"), (F.countDistinct("d") == F.count(F.lit(1))).alias("transitive"))
+    two = wins.select(F.col("w").alias("x"), F.col("l").alias("y")).join(wins.select(F.col("w").alias("y"), F.col("l").alias("z")), "y").where("x <> z")
+    reached = wins.union(two.select("x", "z")).distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    kings = reached.groupBy("n").agg(F.count(F.lit(1)).alias("kings"))
+    # scores are few numbers: prefixes within one score are counted by formula, from sums of the scores below
+    by = scores.groupBy("d").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    runs = by.select("d", "k", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("r"), F.coalesce(F.sum(F.col("d") * F.col("k")).over(before), F.lit(0)).alias("s"))
+    place = runs.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("j"), "d", "r", "s").select((F.col("r") + F.col("j")).alias("r"), (F.col("s") + F.col("j") * F.col("d")).alias("s"))
+    blocks = place.agg(F.count_if(2 * F.col("s") == F.col("r") * (F.col("r") - 1)).alias("blocks"))
+    found = shape.join(kings, F.col("n") == F.col("items") - 1, "left")
+    return found.crossJoin(blocks).select("items", "least_wins", "most_wins", "regular", "transitive", F.coalesce("kings", F.lit(0)).alias("kings"), "blocks")  # one row each
+
+
+def girth_witness(edges: DataFrame) -> DataFrame:
+    """(girth, witness): the shortest directed cycle's length and the first such cycle, as its nodes joined by dashes. For
+    each pair of ends the least walk is kept; the first layer in which one closes is the last."""
+    edges = cut(edges.select("src", "dst").distinct())
+    level = cut(edges.select(F.col("src").alias("first"), F.col("dst").alias("head"), F.array("src", "dst").alias("path")))
+    length, nodes = 1, edges.select("src").distinct().count()
+    while length <= nodes and not level.isEmpty():
+        closed = level.where("first = head")
+        if not closed.isEmpty():
+            return closed.agg(F.min("path").alias("path")).select(F.lit(length).cast("long").alias("girth"), F.array_join(F.col("path").cast("array<string>"), "-").alias("witness"))
+        moved = level.join(edges.withColumnRenamed("src", "head"), "head")
+        level = cut(moved.groupBy("first", F.col("dst").alias("head")).agg(F.min(F.concat("path", F.array("dst"))).alias("path")))
+        length += 1
+    return edges.sparkSession.createDataFrame([], "girth long, witness string")
+
+
+def largest_independent_sets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(largest, sets): the size of the largest independent sets of nodes (numbers below 63), and their number. Sets with
+    the same last node and the same nodes barred are one state with a count."""
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).cast("int"))
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    shadow = both.groupBy(F.col("src").alias("node")).agg(F.bit_or(one("dst")).alias("shadow"))
+    nodes = cut(nodes.select("node").distinct().join(shadow, "node", "left").select("node", F.coalesce("shadow", F.lit(0).cast("long")).alias("shadow")))
+    level, size = nodes.select(F.col("node").alias("last"), F.col("shadow").alias("barred"), F.lit(1).cast("decimal(38,0)").alias("cnt")), 1
+    level = cut(level)
+    while True:
+        free = F.filter(F.sequence(F.col("last") + 1, F.greatest(F.col("last") + 1, F.lit(62).cast("long"))), lambda x: K.bit(F.col("barred"), x) == 0)
+        grown = level.select("barred", "cnt", F.explode(free).alias("node")).join(nodes, "node")
+        grown = cut(merged(grown.select(F.col("node").alias("last"), F.col("barred").bitwiseOR(F.col("shadow")).alias("barred"), "cnt"), ["last", "barred"]))
+        if grown.isEmpty():
+            return level.agg(F.sum("cnt").cast("long").alias("sets")).where("sets IS NOT NULL").select(F.lit(size).cast("long").alias("largest"), "sets")
+        level, size = grown, size + 1
+
+
+def dive_estimate(edges: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
+    """(length, alive, weight, squares) of random dives from ``starts`` (id, head) along unvisited neighbours: weight sums
+    the products of the choices that dives had, so weight / dives estimates the simple paths from a start. A choice comes
+    from the MD5 of id and length: the same in each run. Nodes are numbers below 63."""
+    ways = edges.groupBy(F.col("src").alias("head")).agg(F.array_sort(F.collect_set("dst")).alias("ways"))  # 62 at most
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).cast("int"))
+    ways = cut(ways)
+    level = starts.select("id", "head", one("head").alias("mask"), F.lit(1).cast("long").alias("weight"))
+    out = None
+    for length in range(longest):
+        open_ways = F.filter("ways", lambda x: K.bit(F.col("mask"), x) == 0)
+        drawn = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"/{length}")).cast("binary")), 1, 6), 16, 10).cast("long")
+        moved = level.join(ways, "head").select("id", "mask", "weight", open_ways.alias("open")).where(F.size("open") > 0)
+        moved = moved.select("id", "mask", (F.col("weight") * F.size("open")).alias("weight"), F.get("open", (drawn % F.size("open")).cast("int")).alias("head"))
+        level = cut(moved.select("id", "head", F.col("mask").bitwiseOR(one("head")).alias("mask"), "weight"))
+        row = level.agg(F.count(F.lit(1)).alias("alive"), F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("weight")).alias("squares")).where("alive > 0")
+        row = row.select(F.lit(length + 1).cast("long").alias("length"), "alive", "weight", "squares")
+        out = row if out is None else out.union(row)
+    return out

@@ -53,3 +53,19 @@ def appended(old: DataFrame, new: DataFrame, keys: list[str], value: str = "val"
     if not reconcile(new, old, keys, value).where("status = 'mismatch'").isEmpty():
         raise ValueError("the tables differ where they overlap")
     return old.select(*keys, value).union(new.select(*keys, value).join(old.select(*keys), keys, "left_anti"))
+
+
+def onset(df: DataFrame, by: list[str], order: str, holds: str) -> DataFrame:
+    """(by.., onset, rows): the first place in ``order`` from which on ``holds`` is true to the end, null if it isn't at
+    the end, and how many rows are from there. Two aggregations, no sort."""
+    last = df.groupBy(*by).agg(F.max(F.when(~F.col(holds), F.col(order))).alias("__last__"))
+    after = F.col("__last__").isNull() | (F.col(order) > F.col("__last__"))
+    return df.join(last, by).groupBy(*by).agg(F.min(F.when(after, F.col(order))).alias("onset"), F.count_if(after).alias("rows"))
+
+
+def set_comparison(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(in_both, only_a, only_b, equal) of two sets of keys: one aggregation of flags, no join."""
+    marked = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(key, F.lit(0), F.lit(1)))
+    flags = marked.groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    counted = flags.agg(F.count_if(F.expr("a = 1 AND b = 1")).alias("in_both"), F.count_if(F.col("b") == 0).alias("only_a"), F.count_if(F.col("a") == 0).alias("only_b"))
+    return counted.withColumn("equal", F.col("only_a") + F.col("only_b") == 0)

@@ -101,23 +101,26 @@ def order_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRADE = """
     t AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
           JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
-    e AS (SELECT CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst FROM t WHERE n % 6 = 0)
+    partner AS (SELECT a, b, n * count(*) OVER (PARTITION BY a) > sum(n) OVER (PARTITION BY a) AS major FROM t),
+    e AS (SELECT CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst FROM partner WHERE major)
 """
 
 
 def trade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, n): line items that customers of one nation have from suppliers of another."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("m"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     buyers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("src"))
     sellers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("dst"))
     met = lines.join(orders, "l_orderkey").join(buyers, "c_custkey").join(sellers, "l_suppkey").where("src <> dst")
-    return met.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("src", "dst").agg(F.sum("m").alias("n"))
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of nations whose number of line items is a multiple of 6: a sparse graph that depends on all rows."""
-    return cut(trade_counts(spark, sf_dir).where("n % 6 = 0").select("src", "dst"))
+    """Major partners: pairs of nations with more line items than the buying nation has with a partner on average."""
+    counts = cut(trade_counts(spark, sf_dir))
+    totals = counts.groupBy("src").agg(F.count(F.lit(1)).alias("partners"), F.sum("n").alias("total"))
+    return cut(counts.join(totals, "src").where(F.col("n") * F.col("partners") > F.col("total")).select("src", "dst"))
 
 
 def all_trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,29 +235,19 @@ def independent_nations(spark: SparkSession, sf_dir: str, edges_of=trade_edges)
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_returnflag = 'R' AND l_discount = 0 AND l_quantity <= 2),
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem),
     u AS (SELECT 2 * a AS s, 2 * b + 1 AS d FROM e UNION SELECT 2 * b + 1, 2 * a FROM e),
     r(s, d) AS (SELECT s, s FROM u UNION SELECT r.s, u.d FROM r JOIN u ON r.d = u.s)
     SELECT size, count(*) AS components FROM (SELECT c, count(*) AS size FROM (SELECT s, min(d) AS c FROM r GROUP BY s) GROUP BY c) GROUP BY size"""
 )
 def supplier_part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of suppliers and parts that returned, undiscounted, small line items link; by size."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount = 0 AND l_quantity <= 2")
-    return component_sizes(lines)
-
-
-def component_sizes(lines: DataFrame) -> DataFrame:
+    """Components of suppliers and parts that any line item links; by size."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     edges = lines.select((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst"))
     sizes = graphs.components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("components"))
 
 
-@query(ORACLE_SQL["supplier_part_components"].replace(" WHERE l_returnflag = 'R' AND l_discount = 0 AND l_quantity <= 2", ""))
-def supplier_part_components_of_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of suppliers and parts that any line item links; by size."""
-    return component_sizes(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct())
-
-
 @query(
     "WITH "
     + _TRADE
@@ -273,10 +266,10 @@ def trade_graph_faults(spark: SparkSession, sf_dir: str, edges_of=trade_edges) -
 
 
 def over_all_trade(f) -> None:
-    """Register ``f`` over all pairs of nations too, as NAME_of_all_pairs; its SQL is that of ``f`` without the thinning."""
+    """Register ``f`` over all pairs of nations too, as NAME_of_all_pairs; its SQL is that of ``f`` without the choice of partners."""
     name = f"{f.__name__}_of_all_pairs"
     QUERIES[name] = partial(f, edges_of=all_trade_edges)
-    ORACLE_SQL[name] = ORACLE_SQL[f.__name__].replace(" WHERE n % 6 = 0", "")
+    ORACLE_SQL[name] = ORACLE_SQL[f.__name__].replace(" WHERE major", "")
 
 
 for _f in (simple_path_census, directed_trade_cycles, breadth_first_cut_width, reachable_nations, shortest_trade_cycle, strong_components_of_trade, independent_nations, in_degree_histogram, trade_graph_faults):
@@ -407,23 +400,18 @@ def solitaire_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DECKS = """
     i AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS pos,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS val, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
-    d AS (SELECT k, list(val ORDER BY pos) AS p, min(n) AS n FROM i WHERE n <= 7 GROUP BY 1)
+    d AS (SELECT k, list(val ORDER BY pos) AS p, min(n) AS n FROM i GROUP BY 1)
 """
 
 
 def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all_decks() for orders of up to seven items."""
-    return all_decks(spark, sf_dir).where(F.size("p") <= 7)
-
-
-def all_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, p): an order's items by line number as a permutation of their price ranks."""
     tie = ["l_partkey", "l_suppkey"]
     by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *tie, "l_extendedprice", "l_shipdate", "l_quantity")
     by_price = Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_linenumber", *tie, "l_shipdate", "l_quantity")
     ranked = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(by_line).alias("pos"), F.row_number().over(by_price).alias("val"))
-    decks = ranked.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("l"))
-    return decks.select(F.col("l_orderkey").alias("k"), F.transform("l", lambda x: x["val"]).alias("p"))
+    found = ranked.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("l"))
+    return found.select(F.col("l_orderkey").alias("k"), F.transform("l", lambda x: x["val"]).alias("p"))
 
 
 @query(
@@ -434,13 +422,10 @@ def all_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT f.n AS size, count(*) AS decks, CAST(sum(t) AS BIGINT) AS flips, max(t) AS most, count(*) FILTER (WHERE t = most) AS at_most FROM f JOIN m USING (n) GROUP BY 1"""
 )
 def topswops_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flips until the cheapest item is on top: totals and worst cases by deck size. 16 flips are enough for seven."""
-    flips = decks(spark, sf_dir).select(F.size("p").cast("long").alias("size"), K.flips_to_top(F.col("p"), 16).alias("t"))
-    return flip_totals(flips)
-
-
-def flip_totals(flips: DataFrame) -> DataFrame:
-    by_count = flips.groupBy("size", "t").agg(F.count(F.lit(1)).alias("n"))
+    """Flips until the cheapest item is on top: totals and worst cases by deck size. Each distinct deck is played once,
+    with as many flips as it needs."""
+    flips = decks(spark, sf_dir).groupBy("p").agg(F.count(F.lit(1)).alias("times")).select(F.size("p").cast("long").alias("size"), flips_of("p").alias("t"), "times")
+    by_count = flips.groupBy("size", "t").agg(F.sum("times").alias("n"))
     return by_count.groupBy("size").agg(F.sum("n").alias("decks"), F.sum(F.col("n") * F.col("t")).alias("flips"), F.max("t").alias("most"), F.max_by("n", "t").alias("at_most"))
 
 
@@ -449,47 +434,21 @@ def flip_totals(flips: DataFrame) -> DataFrame:
     + _DECKS
     + """, u AS (SELECT k, n, unnest(p) AS v, generate_subscripts(p, 1) AS i FROM d),
     c AS (SELECT a.k, a.n, a.i, count(b.v) AS s FROM u a LEFT JOIN u b ON a.k = b.k AND b.i > a.i AND b.v < a.v GROUP BY 1, 2, 3)
-    SELECT n AS size, rank, count(*) AS decks FROM (SELECT k, n, CAST(sum(s * factorial(CAST(n - i AS INTEGER))) AS BIGINT) AS rank FROM c GROUP BY 1, 2) GROUP BY 1, 2"""
+    SELECT n AS size, digits, count(*) AS decks FROM (SELECT k, n, list(s ORDER BY i) AS digits FROM c GROUP BY 1, 2) GROUP BY 1, 2"""
 )
 def permutation_rank_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = decks(spark, sf_dir).select(F.size("p").cast("long").alias("size"), K.permutation_rank(F.col("p")).alias("rank"))
-    return ranked.groupBy("size", "rank").agg(F.count(F.lit(1)).alias("decks"))
+    """Orders by their rank among the permutations of their size, as digits in the factorial base: beyond 20 items ranks
+    don't fit into 64 bits."""
+    counted = decks(spark, sf_dir).groupBy("p").agg(F.count(F.lit(1)).alias("decks"))
+    return counted.select(F.size("p").cast("long").alias("size"), rank_digits_of("p").alias("digits"), "decks")
 
 
 @query("WITH " + _DECKS + ", u AS (SELECT k, n, unnest(p) AS v, generate_subscripts(p, 1) AS i FROM d) SELECT n AS size, count(*) AS decks, CAST(sum(CAST(f = 0 AS BIGINT)) AS BIGINT) AS gardens FROM (SELECT k, n, count(*) FILTER (WHERE i > 1 AND v = i) AS f FROM u GROUP BY 1, 2) GROUP BY 1")
 def decks_without_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gardens(decks(spark, sf_dir))
-
-
-def gardens(decks: DataFrame) -> DataFrame:
-    flagged = decks.select(F.size("p").cast("long").alias("size"), K.no_fixed_point_after_first(F.col("p")).alias("garden"))
+    flagged = decks(spark, sf_dir).select(F.size("p").cast("long").alias("size"), K.no_fixed_point_after_first(F.col("p")).alias("garden"))
     return flagged.groupBy("size").agg(F.count(F.lit(1)).alias("decks"), F.sum(F.col("garden").cast("long")).alias("gardens"))
 
 
-@query(ORACLE_SQL["topswops_of_orders"].replace(" WHERE n <= 7", ""))
-def topswops_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """topswops_of_orders for orders of any size, with as many flips as a deck needs."""
-    return flip_totals(all_decks(spark, sf_dir).select(F.size("p").cast("long").alias("size"), flips_of("p").alias("t")))
-
-
-@query(
-    "WITH "
-    + _DECKS.replace(" WHERE n <= 7", "")
-    + """, u AS (SELECT k, n, unnest(p) AS v, generate_subscripts(p, 1) AS i FROM d),
-    c AS (SELECT a.k, a.n, a.i, count(b.v) AS s FROM u a LEFT JOIN u b ON a.k = b.k AND b.i > a.i AND b.v < a.v GROUP BY 1, 2, 3)
-    SELECT n AS size, digits, count(*) AS decks FROM (SELECT k, n, list(s ORDER BY i) AS digits FROM c GROUP BY 1, 2) GROUP BY 1, 2"""
-)
-def permutation_rank_histogram_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks of orders of any size, as digits in the factorial base: beyond 20 items they don't fit into 64 bits."""
-    ranked = all_decks(spark, sf_dir).select(F.size("p").cast("long").alias("size"), rank_digits_of("p").alias("digits"))
-    return ranked.groupBy("size", "digits").agg(F.count(F.lit(1)).alias("decks"))
-
-
-@query(ORACLE_SQL["decks_without_predecessor"].replace(" WHERE n <= 7", ""))
-def all_decks_without_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gardens(all_decks(spark, sf_dir))
-
-
 _WORDS = """
     s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, left(event_type, 1) AS c FROM events),
     w AS (SELECT DISTINCT a.c || b.c || d.c AS w FROM s a JOIN s b ON a.user_id = b.user_id AND b.i = a.i + 1 JOIN s d ON a.user_id = d.user_id AND d.i = a.i + 2)
@@ -625,14 +584,15 @@ def missing_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def game_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' numbers of orders as heaps from which 1 or 3 may be taken: a heap's value is its parity, and comes
     from the recursion here."""
-    heaps = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    heaps = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("customers"))
+    # the last three values are enough for the next one
     value = F.aggregate(
-        F.sequence(F.lit(1).cast("long"), F.col("n")),
-        F.array(F.lit(0).cast("long")),
-        lambda g, i: F.concat(g, F.array(K.mex(F.filter(F.array(F.get(g, (i - 1).cast("int")), F.get(g, (i - 3).cast("int"))), lambda x: x.isNotNull())))),
+        F.sequence(F.lit(1), F.col("n")),
+        F.expr("array(-1, -1, 0)"),
+        lambda g, i: F.concat(F.slice(g, 2, 2), F.array(K.mex(F.filter(F.array(F.get(g, F.lit(2)), F.get(g, F.lit(0))), lambda x: x >= 0)).cast("int"))),
         lambda g: F.element_at(g, -1),
     )
-    return heaps.select(value.cast("int").alias("parity"), "n").groupBy("parity", "n").agg(F.count(F.lit(1)).alias("customers"))
+    return heaps.select(value.cast("int").alias("parity"), "n", "customers")
 
 
 # Windows, ranks and sets -----------------------------------------------------------------------------------------------
@@ -666,14 +626,8 @@ def monthly_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stepped.groupBy("c_nationkey").agg(F.count_if(F.col("n") > F.col("before")).alias("rises"), F.count_if(F.col("n") < F.col("before")).alias("falls"), F.max(F.floor(F.col("n") * 1000 / F.col("before"))).alias("best_growth"))
 
 
-@query("SELECT p_brand, p_partkey, k FROM (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS BIGINT) AS k FROM part) WHERE k % 10 = 3")
-def price_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose price rank within their brand ends in 3."""
-    return all_price_ranks(spark, sf_dir).where("k % 10 = 3")
-
-
 @query("SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS BIGINT) AS k FROM part")
-def all_price_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def price_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's price rank within its brand."""
     return table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")).cast("long").alias("k"))
 

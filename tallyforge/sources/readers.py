@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 def sequence_file(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(file, idx, val) of lines ``index value``; comments and blank lines are left out. Values have up to 38 digits.
     Strict: a malformed line raises an error, else it is left out."""
-    lines = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.trim("value").alias("line")).where("line <> '' AND NOT line LIKE '#%'")
+    return _terms(spark.read.text(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)), strict)
+
+
+def sequence_folder(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(file, idx, val) of a folder of sequences as sequence_files() writes them; file is the sequence's name."""
+    return _terms(spark.read.text(path).withColumn("file", F.col("seq").cast("string")), strict)
+
+
+def _terms(named: DataFrame, strict: bool) -> DataFrame:
+    lines = named.select("file", F.trim("value").alias("line")).where("line <> '' AND NOT line LIKE '#%'")
     good = F.col("line").rlike(r"^-?[0-9]+\s+-?[0-9]{1,38}$")
     if strict:
         lines = lines.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a term: "), "line")).cast("boolean")))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tallyforge.plans import queries as plans
+from tallyforge.plans import reports  # noqa: F401  registers its queries with those of plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -35,7 +35,7 @@ def test_trade_queries_have_all_pairs(spark):
 
 
 def test_price_ranks_have_every_part(spark):
-    found = got(spark, "all_price_ranks")
+    found = got(spark, "price_ranks")
     by_brand = collections.defaultdict(list)
     for brand, price, part in rows("SELECT p_brand, p_retailprice, p_partkey FROM {part}"):
         by_brand[brand].append((price, part))
@@ -60,11 +60,11 @@ def test_decks_of_any_size(spark, tmp_path):
     spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
     run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
     flips = {len(p): flips_by_hand(p) for p in decks.values()}
-    assert {r["size"]: (r["decks"], r["flips"], r["most"], r["at_most"]) for r in run("topswops_of_all_orders")} == {n: (1, t, t, 1) for n, t in flips.items()}
+    assert {r["size"]: (r["decks"], r["flips"], r["most"], r["at_most"]) for r in run("topswops_of_orders")} == {n: (1, t, t, 1) for n, t in flips.items()}
     digits = {len(p): [sum(w < v for w in p[i:]) for i, v in enumerate(p)] for p in decks.values()}
-    assert {r["size"]: r["digits"] for r in run("permutation_rank_histogram_of_all_orders")} == digits
+    assert {r["size"]: r["digits"] for r in run("permutation_rank_histogram")} == digits
     gardens = {len(p): int(all(v != i for i, v in enumerate(p, 1) if i > 1)) for p in decks.values()}
-    assert {r["size"]: r["gardens"] for r in run("all_decks_without_predecessor")} == gardens
+    assert {r["size"]: r["gardens"] for r in run("decks_without_predecessor")} == gardens
 
 
 def union_find_sizes(links):
@@ -82,10 +82,10 @@ def union_find_sizes(links):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_of_all_line_items(spark, tmp_path, seed):
-    """Sparse links, repeated rows, one hot supplier, and no row that the thinned query would keep."""
+    """Sparse links, repeated rows, one hot supplier, and no returned or undiscounted row."""
     rng = random.Random(seed)
     links = [(rng.randrange(60), rng.randrange(90)) for _ in range(70)] + [(7, 100 + rng.randrange(200)) for _ in range(400)]
     lines = [(a, b, "N", 0.05, 30.0) for a, b in links + links[:20]]
     spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_returnflag string, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    found = plans.QUERIES["supplier_part_components_of_all_lines"](spark, str(tmp_path))
+    found = plans.QUERIES["supplier_part_components"](spark, str(tmp_path))
     assert sorted((r["size"], r["components"]) for r in found.collect()) == union_find_sizes(links)
