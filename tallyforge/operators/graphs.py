@@ -249,3 +249,69 @@ def dive_estimate(edges: DataFrame, starts: DataFrame, longest: int) -> DataFram
         row = row.select(F.lit(length + 1).cast("long").alias("length"), "alive", "weight", "squares")
         out = row if out is None else out.union(row)
     return out
+
+
+def bitset_triads(wins: DataFrame) -> DataFrame:
+    """(cyc3, trans3) of wins (w, l) among nodes numbered from 0: for each win the nodes that both ends beat, and those
+    the loser beats and the winner loses to, by common bits of masks. A mask holds 62 nodes, further nodes further masks."""
+    wins = cut(wins.select("w", "l").distinct())
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(c) % 62).cast("int"))
+    masks = lambda node, other, name: wins.groupBy(F.col(node).alias("node"), F.floor(F.col(other) / 62).alias("part")).agg(F.bit_or(one(other)).alias(name))
+    beats, loses = cut(masks("w", "l", "beats")), masks("l", "w", "loses")
+    of_loser = wins.join(beats.select(F.col("node").alias("l"), "part", F.col("beats").alias("theirs")), "l")
+    of_winner = beats.join(loses, ["node", "part"], "full").withColumnRenamed("node", "w")
+    common = lambda c: F.coalesce(F.sum(F.bit_count(F.col("theirs").bitwiseAND(F.coalesce(c, F.lit(0).cast("long")))).cast("long")), F.lit(0))
+    return of_loser.join(of_winner, ["w", "part"]).agg((common("loses") / 3).cast("long").alias("cyc3"), common("beats").alias("trans3"))
+
+
+def neighbour_masks(edges: DataFrame) -> DataFrame:
+    """(node, adj): the nodes (numbers below 63) that a node's edges lead to, as a mask."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("dst").cast("int"))
+    return edges.groupBy(F.col("src").alias("node")).agg(F.bit_or(one).alias("adj"))
+
+
+def prefixes(edges: DataFrame, length: int) -> DataFrame:
+    """(path, mask): simple paths with so many edges, as arrays of nodes below 63."""
+    edges = cut(edges.select("src", "dst").distinct().where("src <> dst"))
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).cast("int"))
+    level = edges.select(F.array("src", "dst").alias("path"), one("src").bitwiseOR(one("dst")).alias("mask"))
+    for _ in range(length - 1):
+        level = level.withColumn("src", F.element_at("path", -1)).join(edges, "src").where(K.bit(F.col("mask"), F.col("dst")) == 0)
+        level = level.select(F.concat("path", F.array("dst")).alias("path"), F.col("mask").bitwiseOR(one("dst")).alias("mask"))
+    return level
+
+
+def prefix_jobs(edges: DataFrame, length: int) -> DataFrame:
+    """(first, jobs, paths, ahead) of a symmetric graph's simple paths with so many edges: a job is a path that is not
+    greater than its reverse, standing for both; ahead counts the paths with one more edge, which are not built: their
+    ends are bits of the last node's mask outside the path."""
+    adjacent = cut(neighbour_masks(edges))
+    jobs = prefixes(edges, length).where(F.col("path") <= F.reverse("path"))
+    ends = {"tail": F.element_at("path", 1), "head": F.element_at("path", -1)}
+    for name, end in ends.items():
+        jobs = jobs.withColumn("node", end).join(adjacent, "node", "left").withColumn(name, F.bit_count(F.coalesce("adj", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not("mask"))).cast("long")).drop("node", "adj")
+    own = F.col("path") == F.reverse("path")
+    return jobs.groupBy(F.element_at("path", 1).alias("first")).agg(F.count(F.lit(1)).alias("jobs"), F.sum(F.when(own, 1).otherwise(2)).alias("paths"), F.sum(F.when(own, F.col("head")).otherwise(F.col("head") + F.col("tail"))).alias("ahead"))
+
+
+def viable_prefixes(edges: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
+    """(first, prefixes, by_degree, connected, viable) of a symmetric graph's simple paths with so many edges that a
+    Hamiltonian cycle may begin with: each node off the path needs two neighbours off it or at its ends, and these nodes
+    with the ends must be connected. Nodes are numbers below 63, so that all masks are an array of 62 numbers."""
+    full = nodes.select("node").distinct().join(neighbour_masks(edges), "node", "left").select("node", F.coalesce("adj", F.lit(0).cast("long")).alias("adj"))
+    listed = {r["node"]: r["adj"] for r in full.limit(63).collect()}
+    if not listed:
+        return edges.sparkSession.createDataFrame([], "first long, prefixes long, by_degree long, connected long, viable long")
+    known = F.array(*[F.lit(v).cast("long") for v in sorted(listed)])
+    masks = F.array(*[F.lit(listed.get(i, 0)).cast("long") for i in range(max(listed) + 1)])
+    whole = sum(1 << v for v in listed)
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.cast("int"))
+    adj = lambda v: F.element_at("masks", (v + 1).cast("int"))
+    found = prefixes(edges, length).select("path", "mask", F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("head"), masks.alias("masks"), known.alias("known"))
+    found = found.withColumn("off", F.bitwise_not("mask").bitwiseAND(F.lit(whole).cast("long")))
+    found = found.withColumn("open", F.col("off").bitwiseOR(one(F.col("first"))).bitwiseOR(one(F.col("head"))))
+    degree = F.forall("known", lambda v: (K.bit(F.col("off"), v) == 0) | (F.bit_count(adj(v).bitwiseAND(F.col("open"))) >= 2))
+    near = lambda seen: F.aggregate(F.col("known"), seen, lambda a, v: F.when(K.bit(seen, v) == 1, a.bitwiseOR(adj(v))).otherwise(a)).bitwiseAND(F.col("open"))
+    spread = F.aggregate(F.col("known"), one(F.col("head")), lambda seen, _: near(seen))
+    judged = found.select("first", degree.alias("degree"), (spread == F.col("open")).alias("joined"))
+    return judged.groupBy("first").agg(F.count(F.lit(1)).alias("prefixes"), F.count_if("degree").alias("by_degree"), F.count_if("joined").alias("connected"), F.count_if(F.col("degree") & F.col("joined")).alias("viable"))

@@ -13,13 +13,19 @@ def sequence_files(terms: DataFrame, path: str) -> None:
 
 
 def guarded(new: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write, unless the table that is there has more rows."""
+    """Write, unless the table that is there has more rows. The rows go to a folder beside it, which then takes its
+    place, so ``new`` may read the table and a job that fails leaves it as it was."""
     spark = new.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    if there and (old := spark.read.format(fmt).load(path).count()) > (now := new.count()):
-        raise ValueError(f"{path} has {old} rows; {now} would replace them")
-    new.write.mode("overwrite").format(fmt).save(path)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    folder, aside = make(path), make(f"{path}.next")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    new.write.mode("overwrite").format(fmt).save(f"{path}.next")
+    if files.exists(folder):
+        if (old := spark.read.format(fmt).load(path).count()) > (now := spark.read.format(fmt).load(f"{path}.next").count()):
+            files.delete(aside, True)
+            raise ValueError(f"{path} has {old} rows; {now} would replace them")
+        files.delete(folder, True)
+    files.rename(aside, folder)
 
 
 def json_dataset(df: DataFrame, path: str) -> None:
@@ -32,16 +38,24 @@ def job_result(df: DataFrame, path: str, job: int) -> None:
 
 
 def level(df: DataFrame, path: str, k: int) -> dict:
-    """A level's rows and, once they are there, a manifest row; observed on the way, so rows are read once."""
+    """A level's rows and, once they are there, its manifest row, which a rerun replaces; observed on the way, so rows are
+    read once."""
     from pyspark.sql import Observation
 
     seen = Observation("level")
     df.observe(seen, F.count(F.lit(1)).alias("states")).write.mode("overwrite").parquet(f"{path}/level={k}")
     row = {"level": k, "states": seen.get["states"]}
-    df.sparkSession.createDataFrame([row], "level long, states long").write.mode("append").parquet(f"{path}/manifest")
+    df.sparkSession.createDataFrame([row], "level long, states long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/of={k}")
     return row
 
 
+def stats_csv(df: DataFrame, path: str, step: str, measures: dict) -> None:
+    """A line with the measures (name to aggregate) of this step's rows in a CSV folder; a step that runs again replaces
+    its line."""
+    row = df.agg(*[m.alias(name) for name, m in measures.items()]).select(F.lit(step).alias("step"), *measures)
+    row.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/of={step}")
+
+
 def table_tsv(df: DataFrame, rows: list[str], column: str, value: str, path: str) -> None:
     """A line for each group of rows with its values listed by ``column``."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(column, value))), lambda x: x[value].cast("string"))
