@@ -57,3 +57,27 @@ CHAT_FORMAT = rf"""
         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
     FROM e GROUP BY conv_id
 """
+
+_NOTICE = r"(?i)all rights reserved|licensed under|released under the|this work is licensed|\(c\) ?[0-9]{4}|©|copyright|terms of (use|service)|privacy policy|accept (all )?cookies|uses cookies|subscribe to our|click here|share this|log ?in\b.*\bsign ?up"
+_ENDED = r"""[.!?:;,"'')\]…“”’»。]$"""
+QUALITY_RULES = f"""
+WITH d AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT key, regexp_extract_all(t, '{_PLAIN}') AS ws FROM d),
+g AS (SELECT key, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT key, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+r AS (SELECT key, i FROM g QUALIFY count(*) OVER (PARTITION BY key, g) > 1),
+c AS (SELECT key, count(DISTINCT i + j) AS n_repeat_words FROM r, range(5) o(j) GROUP BY 1),
+l AS (SELECT key, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT key, string_split(t, chr(10)) AS ls FROM d)),
+x AS (SELECT key, line, regexp_extract_all(line, '{_PLAIN}') AS ws, row_number() OVER (PARTITION BY key, line ORDER BY pos) > 1 AS again FROM l),
+y AS (SELECT *, len(ws) AS n, list_sum(list_transform(ws, lambda w: strlen(w))) AS chars, strlen(line) - strlen(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
+    len(regexp_extract_all(line, '[A-Z]')) AS upper, len(regexp_extract_all(line, '[a-z]')) AS lower FROM x WHERE len(ws) > 0),
+f AS (SELECT key, n, again, again OR 12 * symbols > chars OR len(list_filter(ws, lambda w: w = '|')) >= 2
+    OR (strlen(line) - strlen(replace(line, ' > ', ''))) // 3 + (strlen(line) - strlen(replace(line, ' » ', ''))) // 4 >= 2
+    OR (n <= 2 AND NOT regexp_matches(ws[-1], '{_ENDED}'))
+    OR (upper > 4 * lower AND upper >= 12 AND (n >= 4 OR 2 * (strlen(line) - strlen(replace(line, '!', ''))) >= n))
+    OR (n <= 30 AND regexp_matches(line, '{_NOTICE}')) AS fault FROM y),
+s AS (SELECT key, count(*) FILTER (WHERE again) AS n_dup_lines, sum(n) FILTER (WHERE fault) AS n_lost_words FROM f GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST(strlen(t) - strlen(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CAST(coalesce(n_lost_words, 0) AS BIGINT) AS n_lost_words FROM d JOIN w USING (key) LEFT JOIN s USING (key) LEFT JOIN c USING (key))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * n_lost_words <= n_words AS kept FROM m
+"""

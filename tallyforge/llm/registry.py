@@ -29,6 +29,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op3_minhash": oracle.MINHASH,
+    "op6_quality_rules": oracle.QUALITY_RULES,
     "op7_decontaminate": oracle.DECONTAMINATE,
     "op9_chat_format": oracle.CHAT_FORMAT,
 }
