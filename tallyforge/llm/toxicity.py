@@ -3,9 +3,9 @@
 A word's vector is three hashed parts: two of the whole word, so that words rarely share both, and one of its first
 letters. Filters of one to three words run over the whole text, their maxima are pooled and a logistic layer scores
 them. The network is trained in numpy on the driver, on a bounded sample of labelled rows (MOST_LABELLED of either
-label, chosen by a hash of the id, never from the held-out quarter); a part of the sample is kept back to calibrate a
-threshold for each language, as predicted from the text. The score is scaled so that each language's threshold is
-THRESHOLD.
+label, chosen by a hash of the id, never from the held-out quarter). Thresholds for each language, as predicted from the
+text, are calibrated on all rows of the sample, each scored by a network that other parts of it trained. The score is
+scaled so that each language's threshold is THRESHOLD.
 
 Defined results: a null or empty text has the score of no words; without labelled rows of both kinds every score is 0;
 rows whose label is null are not learned from; repeated rows are scored each by itself; an empty table gives an empty
@@ -30,6 +30,10 @@ THRESHOLD = 0.3
 BITS, WORD_DIMS, PREFIX_DIMS, PREFIX_BYTES = 16, 8, 4, 7
 WIDTHS, FILTERS = (1, 2, 3), 16
 EPOCHS, BATCH, RATE = 5, 32, 0.05
+#: Parts of the sample; each is scored, for the thresholds, by a network that the others train.
+FOLDS = 3
+#: In a language's threshold all other languages' rows weigh as much as so many rows of label 1, however many there are.
+PRIOR = 10
 #: Words scored at a time; longer texts are cut with an overlap, which pooling undoes.
 BLOCK = 40_000
 _MASK = (1 << BITS) - 1
@@ -198,12 +202,32 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
+def platt(z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Chances of label 1 by a weighted logistic line through log odds z, by Newton's method. Targets are drawn in from 0
+    and 1 as if each label had one more row of the other, so few rows that part well don't make a steep line."""
+    ones, zeros = weights[labels == 1].sum(), weights[labels == 0].sum()
+    target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    x = np.stack([z, np.ones(len(z))], axis=1)
+    line = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ line).clip(-30, 30)))
+        slope = x.T @ (weights * (p - target)) + 1e-3 * (line - [1, 0])
+        bend = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        line -= step * min(1, 2 / np.abs(step).max(initial=1e-9))
+        if np.abs(step).max() < 1e-6:
+            break
+    line[0] = max(line[0], 1e-3)  # a higher score is never a lower chance
+    return 1 / (1 + np.exp(-(x @ line).clip(-30, 30)))
+
+
 def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
-    """Midway between the two scores whose parting has the best weighted F1."""
+    """Midway between the two scores whose parting has the best F1 that the calibrated chances let expect."""
+    inner = scores.astype(float).clip(1e-6, 1 - 1e-6)
+    chances = platt(np.log(inner / (1 - inner)), labels, weights)
     order = np.argsort(-scores)
-    s, y, w = scores[order], labels[order] == 1, weights[order]
-    hits, taken = np.cumsum(w * y), np.cumsum(w)
-    f1 = 2 * hits / (taken + (w * y).sum())
+    s, w, hit = scores[order], weights[order], (weights * chances)[order]
+    f1 = 2 * np.cumsum(hit) / (np.cumsum(w) + hit.sum())
     last = np.append(np.diff(s) < 0, True)  # no threshold between equal scores
     best = int(np.argmax(np.where(last, f1, -1)))
     below = s[best + 1] if best + 1 < len(s) else 0.0
@@ -235,20 +259,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     y = np.array([r["__label__"] for r in rows])
     if len(set(y.tolist())) < 2:
         return ToxicityModel(None, languages)
-    part = np.array([xxhash.xxh3_64_intdigest(str(r["__id__"]), 3) % 4 == 0 for r in rows])
-    if len(set(y[part].tolist())) < 2 or len(set(y[~part].tolist())) < 2:
-        part[:] = False
-    back = np.flatnonzero(part) if part.any() else np.arange(len(y))
-    spoken = np.array([rows[i]["spoken"] for i in back])
+    part = np.array([xxhash.xxh3_64_intdigest(str(r["__id__"]), 3) % FOLDS for r in rows])
+    spoken = np.array([r["spoken"] for r in rows])
     texts = [np.frombuffer(r["slots"], np.uint16).reshape(-1, 3) for r in rows]
     del rows
-    network = train([t for t, p in zip(texts, part, strict=True) if not p], y[~part])
-    scores, known = network.scores([texts[i] for i in back]), y[back]
-    network.threshold = best_threshold(scores, known, np.ones(len(back)))
-    for lang_value in set(spoken.tolist()):
+    network, scores, judged = train(texts, y), np.zeros(len(y)), np.zeros(len(y), bool)
+    for k in range(FOLDS):  # each row is scored by a network that hasn't learned from it
+        own = np.flatnonzero(part == k)
+        others = np.flatnonzero(part != k)
+        if len(own) and len(set(y[others].tolist())) == 2:
+            scores[own] = train([texts[i] for i in others], y[others]).scores([texts[i] for i in own])
+            judged[own] = True
+    if len(set(y[judged].tolist())) < 2:  # a handful of rows: their own scores must do
+        scores, judged = network.scores(texts), np.ones(len(y), bool)
+    scores, y, spoken = scores[judged], y[judged], spoken[judged]
+    network.threshold = best_threshold(scores, y, np.ones(len(y)))
+    for lang_value in sorted(set(spoken.tolist())):
         own = spoken == lang_value
-        if (known[own] == 1).any():
-            network.thresholds[lang_value] = best_threshold(scores, known, np.where(own, 1.0, 0.1))
+        if (y[own] == 1).any():
+            elsewhere = min(1.0, PRIOR / max(1, (y[~own] == 1).sum()))
+            network.thresholds[lang_value] = best_threshold(scores, y, np.where(own, 1.0, elsewhere))
     return ToxicityModel(network, languages)
 
 
