@@ -98,22 +98,29 @@ def with_outputs(df: DataFrame, text: str, make: Callable[[], Callable], fields:
 
     make() runs once per task and gives a function of a list of texts (None for null) that returns a list of
     columns in the order of ``fields``. A column of ``df`` whose name (in any case) is an output's gives way to it.
+    A text column that stays is sent to the workers once, not a second time to be read.
     """
     new = T._parse_datatype_string(fields)
     gone = {f.name.lower() for f in new} | {d.lower() for d in drop}
     kept = [c for c in df.columns if c.lower() not in gone]
-    source = df.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(text)).cast("string").alias("__text__"))
+    sent = [F.col(quoted(c)) for c in kept]
+    if text in kept and df.schema[text].dataType == T.StringType():
+        at_text = kept.index(text)
+    else:
+        at_text = len(kept)
+        sent.append(F.col(quoted(text)).cast("string").alias("__text__"))
+    source = df.select(*sent)
     schema = T.StructType([df.schema[c] for c in kept] + list(new.fields))
-    arrow_new = to_arrow_schema(new)
+    width, arrow_new = len(kept), to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
-                columns = work(batch.column(batch.num_columns - 1).to_pylist())
+                columns = work(batch.column(at_text).to_pylist())
                 made = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow_new, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *arrow_new.names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*batch.schema.names[:width], *arrow_new.names])
 
     return source.mapInArrow(run, schema)
 

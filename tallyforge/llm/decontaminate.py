@@ -79,12 +79,15 @@ def _intervals(hit: np.ndarray) -> list[dict]:
 FOUND = "n_words long, n_hit long, hits array<struct<start: long, end: long>>, items array<string>"
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``docs`` with n_words, n_hit, hits (word intervals) and items (ids of items with occurring windows, as sorted strings)."""
+def find_hits(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, drop: tuple[str, ...] = ()
+) -> DataFrame:
+    """``docs``, but for the columns in ``drop``, with n_words, n_hit, hits (word intervals) and items (ids of items with
+    occurring windows, as sorted strings)."""
     items = benchmark.select(F.col(quoted(item_id)).cast("string").alias("item"), F.col(quoted(item_text)).cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     if size > max_broadcast_bytes:
-        return _joined_hits(docs, items, text, window)
+        return _joined_hits(docs, items, text, window, drop)
     known = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
 
     def make():
@@ -102,10 +105,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
 
         return work
 
-    return with_outputs(docs, text, make, FOUND)
+    return with_outputs(docs, text, make, FOUND, drop)
 
 
-def _joined_hits(docs: DataFrame, items: DataFrame, text: str, window: int) -> DataFrame:
+def _joined_hits(docs: DataFrame, items: DataFrame, text: str, window: int, drop: tuple[str, ...]) -> DataFrame:
     """The same for a benchmark of any size: windows of distinct texts are joined by a 128-bit digest."""
     spans = "array<struct<size: int, start: int, digest: binary>>"
 
@@ -148,7 +151,7 @@ def _joined_hits(docs: DataFrame, items: DataFrame, text: str, window: int) -> D
         "__key__", "n_words", merged(F.coalesce("places", F.expr("cast(array() as array<struct<start: int, size: int>>)"))).alias("hits"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
     )
     hits = hits.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
-    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "hits", "items")]
+    kept = [c for c in docs.columns if c.lower() not in {"n_words", "n_hit", "hits", "items"} | {d.lower() for d in drop}]
     return keyed.select(*[F.col(quoted(c)) for c in kept], "__key__").join(hits, "__key__").select(*[F.col(quoted(c)) for c in kept], "n_words", "n_hit", "hits", "items")
 
 
@@ -182,7 +185,7 @@ def _without(text, hits):
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), drop=("text",))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), F.expr(f"{CONTAMINATED}").alias("contaminated")
     )

@@ -128,7 +128,7 @@ class LanguageModel:
 class Identifier:
     """Scores texts; remembers the scores of up to ``most`` words."""
 
-    def __init__(self, model: LanguageModel, most: int = 300_000):
+    def __init__(self, model: LanguageModel, most: int = 100_000):
         self.model, self.most = model, min(most, MOST_CELLS // max(1, len(model.languages)))
         self.index: dict[str, int] = {}
         self.scores = np.empty((1024, len(model.languages)))
@@ -177,18 +177,18 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str =
     return LanguageModel([(r["label"], r["text"]) for r in chosen.select("label", "text").orderBy("label", "id").collect()])
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs``, but for the columns in ``drop``, with lang_pred and score."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         identifier = Identifier(known.value)
         return lambda texts: [list(c) for c in zip(*map(identifier.predict, texts), strict=True)] if texts else [[], []]
 
-    return with_outputs(docs, text, make, "lang_pred string, score double")
+    return with_outputs(docs, text, make, "lang_pred string, score double", drop)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), fit(docs))
+    found = identify(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), fit(docs), drop=("text",))
     return found.select("doc_id", "held_out", "lang_pred", "score")

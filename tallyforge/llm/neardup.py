@@ -72,7 +72,8 @@ SETS = "n_shingles long, set_key binary, signature binary, bands array<long>"
 
 
 def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """``docs`` with its set's size and digest, its signature (signature_of its minima) and a hash of each band."""
+    """``docs`` without the text, with its set's size and digest, its signature (signature_of its minima) and a hash of
+    each band."""
 
     def make():
         hashes, minhash = WordHashes(), MinHash()
@@ -87,7 +88,7 @@ def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
 
         return lambda texts: [list(c) for c in zip(*map(one, texts), strict=True)] if texts else [[], [], [], []]
 
-    return with_outputs(docs, text, make, SETS)
+    return with_outputs(docs, text, make, SETS, drop=(text,))
 
 
 def grouped(df: DataFrame, keys: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
@@ -231,7 +232,7 @@ LINK = "u long, v long"
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """A row for each of ``docs``: its id, n_shingles and component_id, the least id that links reach."""
     source = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text)).cast("string").alias("text"))
-    sets = as_table(shingle_sets(source, "text", width).drop("text"), "sets")
+    sets = as_table(shingle_sets(source, "text", width), "sets")
     full = sets.where("n_shingles > 0 AND id IS NOT NULL")
     classes = full.groupBy("set_key").agg(F.min(F.struct("id", "signature", "bands")).alias("first")).select("set_key", "first.*")
     classes = as_table(classes, "classes")

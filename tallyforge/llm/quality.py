@@ -50,8 +50,8 @@ def line_fault(line: bytes, words: list[bytes]) -> str | None:
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lost_words long, line_faults map<string,long>, clean_text string, base_failed boolean, kept boolean"
 
 
-def assess(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
-    """``docs`` with the measures of the whole text, the text without its failing lines, and the verdict."""
+def assess(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs``, but for the columns in ``drop``, with the measures of the whole text, the text without its failing lines, and the verdict."""
 
     def make():
         hashes = WordHashes()
@@ -90,7 +90,7 @@ def assess(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST) ->
 
         return lambda texts: [list(c) for c in zip(*map(one, texts), strict=True)] if texts else [[] for _ in range(10)]
 
-    return with_outputs(docs, text, make, MEASURES)
+    return with_outputs(docs, text, make, MEASURES, drop)
 
 
 def keep_clean(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
@@ -102,5 +102,5 @@ def keep_clean(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = assess(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept")

@@ -123,14 +123,14 @@ class Scanner:
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with secrets: an array of (kind, start, end)."""
+def find_secrets(docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs``, but for the columns in ``drop``, with secrets: an array of (kind, start, end)."""
 
     def make():
         scanner = Scanner()
         return lambda texts: [[[{"kind": k, "start": a, "end": b} for k, a, b in scanner.spans(t)] for t in texts]]
 
-    return with_outputs(docs, text, make, _TEXT_OUT)
+    return with_outputs(docs, text, make, _TEXT_OUT, drop)
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -156,7 +156,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
     listed = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))

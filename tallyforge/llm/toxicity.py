@@ -42,7 +42,7 @@ _MASK = (1 << BITS) - 1
 class WordSlots(dict):
     """Word -> its three slots in one number, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 60_000):
         super().__init__()
         self.most = most
 
@@ -282,8 +282,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     return ToxicityModel(network, languages)
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if score >= THRESHOLD). Only the text is read."""
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs``, but for the columns in ``drop``, with score (0 to 1) and predicted (1 if score >= THRESHOLD). Only the
+    text is read."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -299,7 +300,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
 
         return work
 
-    return with_outputs(docs, text, make, "score double, predicted int")
+    return with_outputs(docs, text, make, "score double, predicted int", drop)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
@@ -312,5 +313,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Dat
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    found = score(docs.select("doc_id", "text", langid.held_out("doc_id").alias("held_out")), model)
+    found = score(docs.select("doc_id", "text", langid.held_out("doc_id").alias("held_out")), model, drop=("text",))
     return found.select("doc_id", "held_out", "score", "predicted")
