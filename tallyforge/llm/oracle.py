@@ -81,3 +81,22 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(
     CAST(coalesce(n_lost_words, 0) AS BIGINT) AS n_lost_words FROM d JOIN w USING (key) LEFT JOIN s USING (key) LEFT JOIN c USING (key))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * n_lost_words <= n_words AS kept FROM m
 """
+
+# bit by bit, as DuckDB has no crc32
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+PREFIX_TRIE = f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) ORDER BY turn NULLS FIRST, role, text) AS k, list(CAST(strlen(text) AS BIGINT) ORDER BY turn NULLS FIRST, role, text) AS b FROM t GROUP BY 1),
+    h AS (SELECT *, {_CRC32} % 9 AS h FROM o),
+    r AS (SELECT h.conv_id, coalesce(a.k, [])[1 : h] || h.k[h + 1 :] AS k, coalesce(a.b, [])[1 : h] || h.b[h + 1 :] AS b FROM h LEFT JOIN o a ON a.conv_id = h.conv_id - h.conv_id % 5),
+    m AS (SELECT conv_id, d, sha256(array_to_string(k[1 : d], ',')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(k[1 : d - 1], ',')) END AS up, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS size, d = len(k) AS ends
+        FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM r)),
+    n AS (SELECT node, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY 1),
+    c AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+    w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.up = n.node),
+    under AS (SELECT DISTINCT a.node AS top, x.node FROM m x JOIN m a ON a.conv_id = x.conv_id AND a.d <= x.d),
+    s AS (SELECT top, CAST(sum(CAST(n_children = 0 AS BIGINT)) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens FROM under JOIN w USING (node) GROUP BY 1)
+    SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256 FROM w JOIN s ON s.top = w.node LEFT JOIN n p ON p.node = w.up
+"""
