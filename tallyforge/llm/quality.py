@@ -25,11 +25,20 @@ SYMBOLS = b"#*$%&|<>"
 #: A document that loses more than this share of its words is rejected.
 MOST_LOST = 0.5
 _BOILERPLATE = re.compile(
-    rb"(?i)all rights reserved|licensed under|released under the|this work is licensed|\(c\) ?[0-9]{4}|\xc2\xa9|copyright|terms of (use|service)|privacy policy|accept (all )?cookies|uses cookies|subscribe to our|click here|share this|log ?in\b.*\bsign ?up"
+    rb"(?i)all rights reserved|licensed under|released under the|this work is licensed|\(c\) ?[0-9]{4}|\xc2\xa9|copyright|terms of (use|service)|privacy policy|accept (all )?cookies|uses cookies|subscribe to our|click here|share this"
 )
+_LOG_IN, _SIGN_UP = re.compile(rb"(?i)log ?in\b"), re.compile(rb"(?i)\bsign ?up")
 _CLOSED = re.compile(rb"[.!?:;,\"')\]]$|\xe2\x80[\xa6\x9c\x9d\x99]$|\xc2\xbb$|\xe3\x80\x82$")
 
 
+def _notice(line: bytes) -> bool:
+    """Boilerplate, or a sign-up somewhere after the first log-in: looked for apart, so that a line takes time in proportion."""
+    if _BOILERPLATE.search(line):
+        return True
+    first = _LOG_IN.search(line)
+    return bool(first and _SIGN_UP.search(line, first.end()))
+
+
 def line_fault(line: bytes, words: list[bytes]) -> str | None:
     """The first rule that a line of at least one word fails."""
     chars = sum(map(len, words))
@@ -42,7 +51,7 @@ def line_fault(line: bytes, words: list[bytes]) -> str | None:
     upper, lower = len(re.findall(rb"[A-Z]", line)), len(re.findall(rb"[a-z]", line))
     if upper > 4 * lower and upper >= 12 and (2 * line.count(b"!") >= len(words) or len(words) >= 4):
         return "shouting"
-    if len(words) <= 30 and _BOILERPLATE.search(line):
+    if len(words) <= 30 and _notice(line):
         return "boilerplate"
     return None
 

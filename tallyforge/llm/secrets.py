@@ -37,11 +37,12 @@ def _crc62(match: re.Match) -> bool:
 
 
 def _json_header(match: re.Match) -> bool:
-    """The part before the first stop is a base64 JSON object that names an algorithm."""
+    """The part before the first stop is a base64 JSON object that names an algorithm. One that is nested too deeply to be read
+    is none."""
     head = match[0].split(b".")[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 
