@@ -1,28 +1,19 @@
-"""Exact aggregates: rationals, least common multiples, GF(2) rank, Grundy values, linear systems."""
+"""Exact aggregates: rationals, least common multiples, GF(2) rank, Grundy values."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from fractions import Fraction
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import kernels as K
+from tallyforge.operators import residues
 
 
 def rational_mean(df: DataFrame, by: list[str], num: str, den: str) -> DataFrame:
-    """(by.., n, num, den): the mean of num / den over rows with den > 0, in lowest terms.
-
-    Rows of one denominator are summed first, so only distinct denominators meet; their least common multiple must fit
-    64 bits, else ANSI mode raises an error."""
-    sums = df.where(F.col(den) > 0).groupBy(*by, F.col(den).cast("long").alias("d")).agg(F.sum(F.col(num).cast("long")).alias("s"), F.count(F.lit(1)).alias("c"))
-    parts = sums.groupBy(*by).agg(F.sum("c").alias("n"), F.collect_set("d").alias("ds"), F.collect_list(F.struct("s", "d")).alias("parts"))
-    common = parts.withColumn("common", K.lcm_of(F.col("ds")))
-    total = common.withColumn("top", F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["s"] * (F.col("common") / p["d"]).cast("long"))).withColumn("bottom", F.col("common") * F.col("n"))
-    divisor = K.gcd(F.col("top"), F.col("bottom"))
-    return total.withColumn("g", F.greatest(divisor, F.lit(1))).select(*by, "n", (F.col("top") / F.col("g")).cast("long").alias("num"), (F.col("bottom") / F.col("g")).cast("long").alias("den"))
+    """(by.., n, num, den): the mean of num / den over rows with den > 0, in lowest terms, by residues: no denominators meet.
+    A numerator or denominator beyond 64 bits raises an error here; residues.fraction_means() gives it as a string."""
+    return residues.fraction_means(df, by, num, den).select(*by, "n", F.col("num").cast("long").alias("num"), F.col("den").cast("long").alias("den"))
 
 
 def signed_sum(value: Column, power: Column) -> Column:
@@ -72,42 +63,6 @@ def grundy(heaps: DataFrame, largest: int, coprime: bool) -> DataFrame:
     return heaps.join(table, "n")
 
 
-def race(pairs: DataFrame, q: int) -> DataFrame:
-    """``pairs`` (a, b: words of digits below q) with num and den of the chance that a comes before b, from the linear
-    equations of the walk over the words' prefixes, exactly. An independent method to the closed form."""
-
-    def solve(a: str, b: str) -> tuple[str, str]:
-        states = sorted({w[:i] for w in (a, b) for i in range(len(w))})
-        at = {s: i for i, s in enumerate(states)}
-        n = len(states)
-        rows = [[Fraction(int(i == j)) for j in range(n)] + [Fraction(0)] for i in range(n)]
-        for s in states:
-            for digit in "0123456789abcdefghijklmnopqrstuvwxyz"[:q]:
-                t = s + digit
-                if t.endswith(a):
-                    rows[at[s]][n] += Fraction(1, q)
-                elif not t.endswith(b):
-                    while t not in at:
-                        t = t[1:]
-                    rows[at[s]][at[t]] -= Fraction(1, q)
-        for c in range(n):
-            pivot = next(r for r in range(c, n) if rows[r][c])
-            rows[c], rows[pivot] = rows[pivot], rows[c]
-            rows[c] = [x / rows[c][c] for x in rows[c]]
-            for r in range(n):
-                if r != c and rows[r][c]:
-                    rows[r] = [x - rows[r][c] * y for x, y in zip(rows[r], rows[c], strict=True)]
-        p = rows[at[""]][n]
-        return str(p.numerator), str(p.denominator)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            solved = [solve(a, b) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-            yield pdf.assign(num=[s[0] for s in solved], den=[s[1] for s in solved])[["a", "b", "num", "den"]]
-
-    return pairs.select("a", "b").mapInPandas(run, "a string, b string, num string, den string")
-
-
 def factor_walk(numbers: DataFrame, column: str, c: int = 1) -> DataFrame:
     """``numbers`` with a factor found by Floyd's cycle search on x*x + c, null if the walk closes without one. A small
     helper per number; the rows are dealt out by Spark."""
@@ -131,21 +86,6 @@ def factor_walk(numbers: DataFrame, column: str, c: int = 1) -> DataFrame:
     return numbers.withColumn("factor", factor(F.col(column).cast("long")))
 
 
-def lucas_lehmer(exponents: DataFrame, column: str) -> DataFrame:
-    """``exponents`` with mersenne: whether 2**p - 1 passes the Lucas-Lehmer test, for odd primes p."""
-
-    @F.udf("boolean")
-    def passes(p):
-        if p is None or p < 3:
-            return None
-        s, m = 4, (1 << p) - 1
-        for _ in range(p - 2):
-            s = (s * s - 2) % m
-        return s == 0
-
-    return exponents.withColumn("mersenne", passes(F.col(column).cast("long")))
-
-
 def gf2_kernel(df: DataFrame, row: str, mask: str, target: int) -> DataFrame:
     """(rows, nullity, fewest_rows): the dimension of the sets of rows that cancel out over GF(2), and how many rows at
     least add up to ``target`` (null if none do). At most 62 rows, of 64 bits; solutions are 2**nullity, and weighed by
