@@ -24,21 +24,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyforge.llm.common import quoted, table, with_outputs
+from tallyforge.llm.common import ROWS_AT_ONCE, quoted, table, with_outputs
 
 #: Parts of so many bytes aren't halved.
 LEAF = 5
 #: Up to so many bytes are merged by looking at all neighbours each time.
 FEW = 16
 #: What a cache keeps at most, and the longest piece in it in characters.
-MOST_KEPT, LONGEST_KEPT = 150_000, 64
+MOST_KEPT, LONGEST_KEPT = 250_000, 64
 
 
 class Kept(dict):
@@ -123,6 +126,8 @@ class Codec:
         if not left or not right:
             return left + right
         i, j, window = 1, 1, self.pairs[left[-1], right[0]]  # i and j tokens on either side are in the window
+        if len(window) == 2 and window[0] == left[-1] and window[1] == right[0]:
+            return left + right
         while True:
             fits_left = i == len(left) or self.pairs[left[-i - 1], window[0]] == [left[-i - 1], window[0]]
             fits_right = j == len(right) or self.pairs[window[-1], right[j]] == [window[-1], right[j]]
@@ -163,7 +168,7 @@ def encode_texts(docs: DataFrame, vocabulary: tuple[str, str], text: str = "text
         codec = Codec.of(*vocabulary)
 
         def work(texts: list) -> list:
-            found = [np.array(codec.encode(t), "<u4") for t in texts]
+            found = [np.fromiter(codec.encode(t), "<u4") for t in texts]
             return [[len(x) for x in found], [x.tobytes() for x in found]]
 
         return work
@@ -175,18 +180,23 @@ def decode_ids(encoded: DataFrame, vocabulary: tuple[str, str], ids: str = "ids"
     """The columns of ``encoded`` but the ids, and the digest of the decimal ids, joined by one space, and ``decoded``: the
     bytes of the text. Null ids are no ids."""
 
-    def make() -> Callable[[list], list]:
+    new = T._parse_datatype_string("ids_sha256 string, decoded binary")
+    gone = {"ids_sha256", "decoded", ids.lower()}
+    kept = [c for c in encoded.columns if c.lower() not in gone]
+    schema = T.StructType([encoded.schema[c] for c in kept] + list(new.fields))
+    names = to_arrow_schema(schema).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(*vocabulary)
         decimal = {i: b"%d" % i for i in codec.bytes_of}
-
-        def work(packed: list) -> list:
-            found = [np.frombuffer(base64.b64decode(x or ""), "<u4").tolist() for x in packed]
-            return [[hashlib.sha256(b" ".join(map(decimal.__getitem__, x))).hexdigest() for x in found], [codec.decode(x) for x in found]]
-
-        return work
-
-    sent = encoded.withColumn("__ids__", F.base64(F.col(quoted(ids)))).drop(ids)
-    return with_outputs(sent, "__ids__", make, "ids_sha256 string, decoded binary", drop=("__ids__",))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                found = [np.frombuffer(x or b"", "<u4").tolist() for x in batch.column(len(kept)).to_pylist()]
+                told = pa.array([hashlib.sha256(b" ".join(map(decimal.__getitem__, x))).hexdigest() for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], told, pa.array(map(codec.decode, found), pa.binary())], names=names)
+
+    return encoded.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(ids))).mapInArrow(run, schema)
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
