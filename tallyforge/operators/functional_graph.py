@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.loops import cut
+from tallyforge.operators.loops import written
 
 
 def jumps(graph: DataFrame) -> list[DataFrame]:
     """(x, y) tables of f, f**2, f**4 .. up to the first whose image shrinks no further: it has the periodic keys only."""
-    out = [cut(graph.select(F.col("key").alias("x"), F.col("nxt").alias("y")))]
+    out = [written(graph.select(F.col("key").alias("x"), F.col("nxt").alias("y")))]
     image = out[0].select("y").distinct().count()
     while True:
         f = out[-1]
-        out.append(cut(f.join(f.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))))
+        out.append(written(f.join(f.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))))
         smaller = out[-1].select("y").distinct().count()
         if smaller == image:
             return out
@@ -30,20 +30,20 @@ def analyze(graph: DataFrame) -> DataFrame:
 
     tail counts the steps to the first periodic key, entry; cycle is its cycle's least key. Keys may be any type that
     can be ordered; rows with a null key or next key are left out, repeated rows count once."""
-    graph = cut(graph.where("key IS NOT NULL AND nxt IS NOT NULL").distinct())
+    graph = written(graph.where("key IS NOT NULL AND nxt IS NOT NULL").distinct())
     table = jumps(graph)
-    periodic = cut(table[-1].select(F.col("y").alias("p")).distinct())
+    periodic = written(table[-1].select(F.col("y").alias("p")).distinct())
     # keys before the first periodic one, and that one: both add up along a walk, so they double with it
     walk = table[0].join(periodic.select(F.col("p").alias("x"), F.lit(True).alias("in")), "x", "left")
     walk = walk.select("x", F.when(F.col("in"), 0).otherwise(1).cast("long").alias("tail"), F.when(F.col("in"), F.col("x")).alias("entry"))
     for f in table:
         ahead = walk.select(F.col("x").alias("y"), F.col("tail").alias("more"), F.col("entry").alias("later"))
-        walk = cut(walk.join(f.join(ahead, "y").select("x", "more", "later"), "x").select("x", (F.col("tail") + F.col("more")).alias("tail"), F.coalesce("entry", "later").alias("entry")))
+        walk = written(walk.join(f.join(ahead, "y").select("x", "more", "later"), "x").select("x", (F.col("tail") + F.col("more")).alias("tail"), F.coalesce("entry", "later").alias("entry")))
     # least key of each cycle, by doubling among periodic keys
-    label = cut(table[0].join(periodic.withColumnRenamed("p", "x"), "x").select("x", "y", F.col("x").alias("low")))
+    label = written(table[0].join(periodic.withColumnRenamed("p", "x"), "x").select("x", "y", F.col("x").alias("low")))
     while True:
         ahead = label.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("low").alias("far"))
-        moved = cut(label.join(ahead, "y").select("x", F.col("z").alias("y"), "low", F.least("low", "far").alias("now")))
+        moved = written(label.join(ahead, "y").select("x", F.col("z").alias("y"), "low", F.least("low", "far").alias("now")))
         changed = moved.where("now <> low").limit(1).count()
         label = moved.select("x", "y", F.col("now").alias("low"))
         if not changed:

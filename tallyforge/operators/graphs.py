@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import kernels as K
 from tallyforge.operators.loops import cut, merged
+from tallyforge.operators.strong import strong_components  # noqa: F401  a part of this module's interface
 
 
 def closure(edges: DataFrame, longest: int | None = None) -> DataFrame:
@@ -47,15 +48,6 @@ def components(edges: DataFrame) -> DataFrame:
         label = jumped.select("node", F.col("now").alias("low"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component): nodes that reach each other, by the least of them; a node on no cycle is alone."""
-    reach = closure(edges).select("src", "dst")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-    return nodes.join(mutual, "node", "left").select("node", F.least("node", F.coalesce("low", "node")).alias("component"))
-
-
 def girth(edges: DataFrame) -> DataFrame:
     """(girth, through): length of the shortest directed cycle and how many nodes lie on one of that length."""
     back = closure(edges).where("src = dst").groupBy("dist").agg(F.count(F.lit(1)).alias("through"))

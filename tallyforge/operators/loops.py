@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As cut(), by a Parquet table in the same folder, whose size Spark then knows. A checkpoint keeps the estimate of its plan,
+    and that of a join is its sides' product: in loops that join a table with itself it has twice as many digits each round."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def merged(states: DataFrame, keys: list[str], count: str = "cnt") -> DataFrame:
     """States that are equal become one, with the sum of their counts; partial sums before the shuffle. The type has
     38 digits, and a greater sum raises an error."""

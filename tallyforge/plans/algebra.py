@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import races, residues
+from tallyforge.operators import races, residues, strong
 from tallyforge.operators.loops import cut
 from tallyforge.plans.queries import _WORDS, _corr_sql, cents, event_words, query, table
 
@@ -74,3 +74,43 @@ def weighted_races_solved(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "events").groupBy(F.left("event_type", F.lit(1)).alias("l")).agg(F.count(F.lit(1)).alias("n"))
     weights = {r["l"]: r["n"] for r in counts.orderBy("l").limit(1000).collect()}  # letters of types
     return races.race(_word_pairs(spark, sf_dir), weights)
+
+
+# Directed graphs -------------------------------------------------------------------------------------------------------
+
+_SUCCESSION = """
+    ln AS (SELECT l_orderkey AS o, l_linenumber AS i, CAST(l_partkey AS BIGINT) AS p, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem),
+    m AS (SELECT a.p AS p, b.p AS q, a.c AS c, b.c AS d, a.o AS o, a.i AS i FROM ln a JOIN ln b ON a.o = b.o AND b.i = a.i + 1),
+    e AS (SELECT p AS src, q AS dst FROM (SELECT p, q, row_number() OVER (PARTITION BY p ORDER BY c DESC, o DESC, i DESC, q DESC) AS r FROM m) WHERE r = 1
+          UNION SELECT q, p FROM (SELECT p, q, row_number() OVER (PARTITION BY q ORDER BY d, o, i, p) AS r FROM m) WHERE r = 1)
+"""
+
+
+def part_succession(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): from each part to the one on the next line where it costs most, and to the one on the line before where it
+    costs least (ties: by order, line, then part). Lines of one order and number are aggregated before they meet, so no pairs
+    are made within an order."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("long").alias("i"), F.col("l_partkey").cast("long").alias("p"), cents("l_extendedprice").alias("c"))
+    after = lines.groupBy("o", (F.col("i") - 1).alias("i")).agg(F.max("p").alias("q"))
+    before = lines.groupBy("o", (F.col("i") + 1).alias("i")).agg(F.min("p").alias("q"))
+    dearest = lines.join(after, ["o", "i"]).groupBy(F.col("p").alias("src")).agg(F.max_by("q", F.struct("c", "o", "i", "q")).alias("dst"))
+    cheapest = lines.join(before, ["o", "i"]).groupBy(F.col("p").alias("src")).agg(F.min_by("q", F.struct("c", "o", "i", "q")).alias("dst"))
+    return cut(dearest.union(cheapest).distinct())
+
+
+@query(
+    "WITH RECURSIVE "
+    + _SUCCESSION
+    + """, r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+    v AS (SELECT src AS n FROM e UNION SELECT dst FROM e),
+    k AS (SELECT a.src AS n, min(a.dst) AS c FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
+    l AS (SELECT v.n, least(v.n, coalesce(k.c, v.n)) AS c FROM v LEFT JOIN k USING (n)),
+    b AS (SELECT DISTINCT x.c AS s, y.c AS d FROM e JOIN l x ON x.n = src JOIN l y ON y.n = dst WHERE x.c <> y.c),
+    z AS (SELECT c, count(*) AS size FROM l GROUP BY 1)
+    SELECT size, count(*) AS components, count(*) FILTER (WHERE c NOT IN (SELECT d FROM b)) AS sources, count(*) FILTER (WHERE c NOT IN (SELECT s FROM b)) AS sinks FROM z GROUP BY 1"""
+)
+def part_succession_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong components of the parts' successions by size, and how many have no edge in or none out."""
+    edges = part_succession(spark, sf_dir)
+    found = strong.condensation(edges, strong.strong_components(edges))
+    return found.groupBy("size").agg(F.count(F.lit(1)).alias("components"), F.count_if(F.col("in_edges") == 0).alias("sources"), F.count_if(F.col("out_edges") == 0).alias("sinks"))
