@@ -130,6 +130,12 @@ def bit(mask: Column, i: Column) -> Column:
     return F.call_function("shiftright", mask, i.cast("int")).bitwiseAND(_long(1))
 
 
+def place_in_mask(i: Column) -> Column:
+    """``i`` itself if a mask of 64 bits has this place besides its sign, 0 to 62; others raise an error, null stays null."""
+    fits = i.isNull() | ((i >= 0) & (i <= 62))
+    return F.when(fits, i.cast("long")).otherwise(F.raise_error(F.concat(F.lit("masks have the places 0 to 62, not "), i.cast("string"))).cast("long"))
+
+
 def reverse_bits(mask: Column, n: int) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(mask), n, "0")), 2, 10).cast("long")
 
@@ -183,8 +189,9 @@ def fold(surface: str, r: Column, c: Column, rows: Column, cols: Column) -> Colu
 
 
 def lucas_lehmer(p: Column) -> Column:
-    """Whether 2**p - 1 is prime, for an odd prime p up to 61."""
+    """Whether 2**p - 1 is prime, for an odd prime p up to 61; a greater one raises an error."""
     number = "decimal(19,0)"
+    p = F.when(p.isNull() | (p <= 61), p.cast("long")).otherwise(F.raise_error(F.lit("exponents go up to 61")).cast("long"))
     modulus = (F.call_function("shiftleft", _long(1), p.cast("int")) - 1).cast(number)
     step = lambda s, _: ((s * s + modulus - 2) % modulus).cast(number)
     return F.aggregate(F.sequence(F.lit(1).cast("long"), p.cast("long") - 2), F.lit(4).cast(number), step) == 0

@@ -72,7 +72,9 @@ def orbit(stats: DataFrame, key) -> DataFrame:
 def parameter_sums(times: DataFrame) -> DataFrame:
     """For maps x * x + c modulo n with (n, c, times), a row for each n: graphs, lines (the sum of times), cycles, sum_rho
     and weighted_rho (tails and cycle lengths of all walks, the latter by times), fixed points, and graphs that have one.
-    n, c and x are below 2**20; all graphs are analyzed as one, whose keys hold the three numbers."""
+    n, c and x are below 2**20, or an error is raised; all graphs are analyzed as one, whose keys hold the three numbers."""
+    small = lambda c: F.when((F.col(c) >= 0) & (F.col(c) < 2**20), F.col(c)).otherwise(F.raise_error(F.lit("parameters must be below 2**20")).cast("long")).alias(c)
+    times = written(times.select(small("n"), small("c"), "times"))
     place = lambda x: F.col("n") * 2**40 + F.col("c") * 2**20 + x
     keys = times.select("n", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("x"))
     stats = analyze(keys.select(place(F.col("x")).alias("key"), place((F.col("x") * F.col("x") + F.col("c")) % F.col("n")).alias("nxt")))

@@ -48,6 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
         label = jumped.select("node", F.col("now").alias("low"))
 
 
+def _in_masks(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with a check that the nodes in these columns have a place in a mask: 0 to 62, else an error is raised."""
+    return df.withColumns({c: K.place_in_mask(F.col(c)) for c in columns})
+
+
 def girth(edges: DataFrame) -> DataFrame:
     """(girth, through): length of the shortest directed cycle and how many nodes lie on one of that length."""
     back = closure(edges).where("src = dst").groupBy("dist").agg(F.count(F.lit(1)).alias("through"))
@@ -57,10 +62,10 @@ def girth(edges: DataFrame) -> DataFrame:
 def simple_paths(edges: DataFrame, start: DataFrame, longest: int) -> DataFrame:
     """(length, paths, cyclic) of simple paths from ``start`` (node) by their number of edges; cyclic ones can close.
 
-    Nodes are numbers below 63. Paths with the same head, first node and visited set are one state with a count, so
+    Nodes are numbers from 0 to 62; others raise an error. Paths with the same head, first node and visited set are one state with a count, so
     rows grow with the number of sets, not of paths."""
-    edges = cut(edges.select("src", "dst").distinct())
-    level = start.select(F.col("node").alias("first"), F.col("node").alias("head"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("node").cast("int")).alias("mask"), F.lit(1).cast("decimal(38,0)").alias("cnt"))
+    edges = cut(_in_masks(edges.select("src", "dst").distinct(), "src", "dst"))
+    level = _in_masks(start.select("node"), "node").select(F.col("node").alias("first"), F.col("node").alias("head"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("node").cast("int")).alias("mask"), F.lit(1).cast("decimal(38,0)").alias("cnt"))
     out = None
     for length in range(1, longest + 1):
         moved = level.join(edges.withColumnRenamed("src", "head"), "head").where(K.bit(F.col("mask"), F.col("dst")) == 0)
@@ -81,8 +86,9 @@ def hamiltonian_cycles(edges: DataFrame, vertices: int) -> int:
 
 
 def independent_sets(edges: DataFrame, nodes: DataFrame, largest: int) -> DataFrame:
-    """(size, sets) of independent sets of nodes (numbers below 63) up to a size. A set grows by greater nodes only."""
+    """(size, sets) of independent sets of nodes (0 to 62; others raise an error) up to a size. A set grows by greater nodes only."""
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).cast("int"))
+    edges, nodes = _in_masks(edges.select("src", "dst"), "src", "dst"), _in_masks(nodes.select("node"), "node")
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     shadow = both.groupBy(F.col("src").alias("node")).agg(F.bit_or(one("dst")).alias("shadow"))
     nodes = cut(nodes.select("node").distinct().join(shadow, "node", "left").select("node", F.coalesce("shadow", F.lit(0).cast("long")).alias("shadow")))
@@ -205,9 +211,10 @@ def girth_witness(edges: DataFrame) -> DataFrame:
 
 
 def largest_independent_sets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(largest, sets): the size of the largest independent sets of nodes (numbers below 63), and their number. Sets with
+    """(largest, sets): the size of the largest independent sets of nodes (0 to 62; others raise an error), and their number. Sets with
     the same last node and the same nodes barred are one state with a count."""
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).cast("int"))
+    edges, nodes = _in_masks(edges.select("src", "dst"), "src", "dst"), _in_masks(nodes.select("node"), "node")
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     shadow = both.groupBy(F.col("src").alias("node")).agg(F.bit_or(one("dst")).alias("shadow"))
     nodes = cut(nodes.select("node").distinct().join(shadow, "node", "left").select("node", F.coalesce("shadow", F.lit(0).cast("long")).alias("shadow")))
@@ -225,11 +232,11 @@ def largest_independent_sets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def dive_estimate(edges: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
     """(length, alive, weight, squares) of random dives from ``starts`` (id, head) along unvisited neighbours: weight sums
     the products of the choices that dives had, so weight / dives estimates the simple paths from a start. A choice comes
-    from the MD5 of id and length: the same in each run. Nodes are numbers below 63."""
-    ways = edges.groupBy(F.col("src").alias("head")).agg(F.array_sort(F.collect_set("dst")).alias("ways"))  # 62 at most
+    from the MD5 of id and length: the same in each run. Nodes are numbers from 0 to 62; others raise an error."""
+    ways = _in_masks(edges.select("src", "dst"), "src", "dst").groupBy(F.col("src").alias("head")).agg(F.array_sort(F.collect_set("dst")).alias("ways"))  # 62 at most
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).cast("int"))
     ways = cut(ways)
-    level = starts.select("id", "head", one("head").alias("mask"), F.lit(1).cast("long").alias("weight"))
+    level = _in_masks(starts.select("id", "head"), "head").select("id", "head", one("head").alias("mask"), F.lit(1).cast("long").alias("weight"))
     out = None
     for length in range(longest):
         open_ways = F.filter("ways", lambda x: K.bit(F.col("mask"), x) == 0)
@@ -257,14 +264,14 @@ def bitset_triads(wins: DataFrame) -> DataFrame:
 
 
 def neighbour_masks(edges: DataFrame) -> DataFrame:
-    """(node, adj): the nodes (numbers below 63) that a node's edges lead to, as a mask."""
+    """(node, adj): the nodes (0 to 62; others raise an error) that a node's edges lead to, as a mask."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("dst").cast("int"))
-    return edges.groupBy(F.col("src").alias("node")).agg(F.bit_or(one).alias("adj"))
+    return _in_masks(edges.select("src", "dst"), "src", "dst").groupBy(F.col("src").alias("node")).agg(F.bit_or(one).alias("adj"))
 
 
 def prefixes(edges: DataFrame, length: int) -> DataFrame:
-    """(path, mask): simple paths with so many edges, as arrays of nodes below 63."""
-    edges = cut(edges.select("src", "dst").distinct().where("src <> dst"))
+    """(path, mask): simple paths with so many edges, as arrays of nodes (0 to 62; others raise an error)."""
+    edges = cut(_in_masks(edges.select("src", "dst").distinct().where("src <> dst"), "src", "dst"))
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).cast("int"))
     level = edges.select(F.array("src", "dst").alias("path"), one("src").bitwiseOR(one("dst")).alias("mask"))
     for _ in range(length - 1):
@@ -289,9 +296,10 @@ def prefix_jobs(edges: DataFrame, length: int) -> DataFrame:
 def viable_prefixes(edges: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
     """(first, prefixes, by_degree, connected, viable) of a symmetric graph's simple paths with so many edges that a
     Hamiltonian cycle may begin with: each node off the path needs two neighbours off it or at its ends, and these nodes
-    with the ends must be connected. Nodes are numbers below 63, so that all masks are an array of 62 numbers."""
-    full = nodes.select("node").distinct().join(neighbour_masks(edges), "node", "left").select("node", F.coalesce("adj", F.lit(0).cast("long")).alias("adj"))
-    listed = {r["node"]: r["adj"] for r in full.limit(63).collect()}
+    with the ends must be connected. Nodes are numbers from 0 to 62, so that all masks are an array of 63
+    numbers; others raise an error."""
+    full = _in_masks(nodes.select("node").distinct(), "node").join(neighbour_masks(edges), "node", "left").select("node", F.coalesce("adj", F.lit(0).cast("long")).alias("adj"))
+    listed = {r["node"]: r["adj"] for r in full.collect()}  # 63 at most
     if not listed:
         return edges.sparkSession.createDataFrame([], "first long, prefixes long, by_degree long, connected long, viable long")
     known = F.array(*[F.lit(v).cast("long") for v in sorted(listed)])

@@ -525,7 +525,7 @@ def streak_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank over GF(2) of the parities of line items by order priority and status, and brand."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat("o_orderpriority", "o_orderstatus").alias("k"))
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.substring("p_brand", 7, 9).cast("int") - 1).alias("b"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), K.place_in_mask(F.substring("p_brand", 7, 9).cast("int") - 1).cast("int").alias("b"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey").join(parts, "l_partkey")
     masks = lines.groupBy("k").agg(F.bit_xor(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("m"))
     return exact.gf2_rank(masks, [], "k", "m")

@@ -114,7 +114,7 @@ def parity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of order priorities and statuses whose line items' parities by brand cancel out: the dimension of their space,
     and the fewest rows that together have the parities of all of them."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat("o_orderpriority", "o_orderstatus").alias("k"))
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.substring("p_brand", 7, 9).cast("int") - 1).alias("b"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), K.place_in_mask(F.substring("p_brand", 7, 9).cast("int") - 1).cast("int").alias("b"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey").join(parts, "l_partkey")
     masks = cut(lines.groupBy("k").agg(F.bit_xor(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("m")))
     target = masks.agg(F.bit_xor("m").alias("t")).first()["t"] or 0

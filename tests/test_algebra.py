@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import kernels as K
-from tallyforge.operators import exact, races, residues
+from tallyforge.operators import exact, functional_graph, graphs, races, residues
 
 
 def test_primes_and_fractions():
@@ -101,3 +101,35 @@ def test_weighted_races_of_words_of_any_length(spark):
 
     got = {(r["a"], r["b"]): Fraction(int(r["num"]), int(r["den"])) for r in races.race(spark.createDataFrame(pairs, "a string, b string"), weights).collect()}
     assert got == {p: chance(*p) for p in pairs}
+
+
+# Bounds of masks -------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("node", [63, 64, 130, -1])
+def test_nodes_beyond_a_mask_raise_an_error(spark, node):
+    """They had wrapped round to other nodes' places."""
+    edges = spark.createDataFrame([(0, node), (node, 0), (1, 0), (0, 1)], "src long, dst long")
+    nodes = spark.createDataFrame([(0,), (1,), (node,)], "node long")
+    starts = spark.createDataFrame([(1, 0)], "id long, head long")
+    for made in (
+        lambda: graphs.simple_paths(edges, nodes, 2).collect(), lambda: graphs.independent_sets(edges, nodes, 2).collect(), lambda: graphs.largest_independent_sets(edges, nodes).collect(),
+        lambda: graphs.dive_estimate(edges, starts, 2).collect(), lambda: graphs.neighbour_masks(edges).collect(), lambda: graphs.prefixes(edges, 1).collect(), lambda: graphs.viable_prefixes(edges, nodes, 1).collect(),
+    ):
+        with pytest.raises(Exception, match="masks have the places"):
+            made()
+
+
+def test_node_62_has_a_place(spark):
+    edges = spark.createDataFrame([(61, 62), (62, 61), (62, 0), (0, 62)], "src long, dst long")
+    found = {r["length"]: (r["paths"], r["cyclic"]) for r in graphs.simple_paths(edges, spark.createDataFrame([(61,)], "node long"), 2).collect()}
+    assert found == {1: (1, 1), 2: (1, 0)}
+    assert graphs.largest_independent_sets(edges, spark.createDataFrame([(0,), (61,), (62,)], "node long")).first()[:] == (2, 1)
+
+
+def test_other_bounds_raise_errors(spark):
+    p = spark.createDataFrame([(89,)], "p long")
+    with pytest.raises(Exception, match="up to 61"):
+        p.select(K.lucas_lehmer(F.col("p"))).collect()
+    with pytest.raises(Exception, match="below 2"):
+        functional_graph.parameter_sums(spark.createDataFrame([(2**20, 1, 1)], "n long, c long, times long")).collect()
