@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import kernels as K
 from tallyforge.functions.decks import flips_of, rank_digits_of
-from tallyforge.operators import exact, functional_graph, graphs, sampling, transfer, verify
+from tallyforge.operators import exact, functional_graph, graphs, ranking, sampling, transfer, verify
 from tallyforge.operators.loops import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -629,7 +629,8 @@ def monthly_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS BIGINT) AS k FROM part")
 def price_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's price rank within its brand."""
-    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")).cast("long").alias("k"))
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
+    return ranking.ranks(parts, ["p_brand"], ["p_retailprice", "p_partkey"]).select("p_brand", "p_partkey", "k")
 
 
 @query(
@@ -707,8 +708,9 @@ def missing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def unseen_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose first three events are no catalogued user's; every third user is the catalogue."""
-    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("l"))
-    sequences = events.select("user_id", F.transform("l", lambda x: x["event_type"]).alias("terms"))
+    events = ranking.ranks(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).where("k <= 3")
+    first = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "event_type"))).alias("l"))  # three at most
+    sequences = cut(first.select("user_id", F.transform("l", lambda x: x["event_type"]).alias("terms")))
     unseen = verify.unseen_prefixes(sequences.where("user_id % 3 <> 0"), sequences.where("user_id % 3 = 0"), "terms", 3)
     return unseen.groupBy(F.get("terms", F.lit(0)).alias("first_type")).agg(F.count(F.lit(1)).alias("unseen"))
 

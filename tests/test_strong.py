@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyforge.operators import strong
+from tallyforge.operators import ranking, strong
 
 
 def kosaraju(edges):
@@ -75,3 +75,19 @@ def test_condensation(spark):
 
 def test_no_edges(spark):
     assert strong.strong_components(frame(spark, [])).count() == 0
+
+
+# Ranks -----------------------------------------------------------------------------------------------------------------
+
+
+def test_ranks_of_a_hot_group_and_of_nulls(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, *range(40)]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, id long")
+    found = {r["id"]: r["k"] for r in ranking.ranks(df, ["g"], ["v", "id"]).collect()}
+    assert len(found) == len(rows)
+    for g in ("hot", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [found[r[2]] for r in own] == list(range(1, len(own) + 1))
+    whole = ranking.ranks(df, ["g"], ["v", "id"]).groupBy("g").count()
+    assert whole.count() == 3 and ranking.ranks(df.limit(0), ["g"], ["v"]).count() == 0
