@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, factorial
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,38 @@ def hash_share(key: Column, per_16: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 1), 16, 10).cast("int") < per_16
 
 
+#: Of 65536 equal chances, those of at most 0, 1, 2, .. events at a mean of one (Poisson), rounded down: from exp(-1) / k!.
+_AT_MOST = [int(65536 * exp(-1) * sum(1 / factorial(j) for j in range(k + 1))) for k in range(8)]
+#: Replicates that one MD5 gives weights for: 16 bits each.
+_A_HASH = 8
+
+
+def poisson_bootstrap(df: DataFrame, by: list[str], key: str, value: str, replicates: int = 40, tail: float = 0.025, buckets: int = 16) -> DataFrame:
+    """(by.., n, mean, low, high, middle) in thousandths, rounded down: the mean of whole numbers ``value``, the interval of its
+    bootstrap replicates without a share ``tail`` on either side, and the median of the means of 16 or fewer equal parts.
+
+    A row's weight in a replicate is a Poisson number of mean one, from the MD5 of its key: the same in each run, wherever the row
+    is; rows of one key have the same weights. So all replicates are sums of one pass, aggregated before the shuffle. Replicates
+    and parts without a row are left out; null values and keys as well; of an even number of parts the lower median is taken."""
+    rows = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(*by, F.col(key).cast("string").alias("__key"), F.col(value).cast("long").alias("__v"))
+    digest = lambda name: F.md5(F.concat("__key", F.lit(f"/{name}")).cast("binary"))
+    hashes = [digest(h) for h in range(-(-replicates // _A_HASH))]
+    rows = rows.withColumns({f"__h{i}": h for i, h in enumerate(hashes)}).withColumn("__part", (F.conv(F.substring(digest("part"), 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("__v").alias("__s")]
+    for b in range(replicates):
+        drawn = F.conv(F.substring(F.col(f"__h{b // _A_HASH}"), 4 * (b % _A_HASH) + 1, 4), 16, 10).cast("int")
+        weight = sum((F.when(drawn >= bound, 1).otherwise(0) for bound in _AT_MOST), F.lit(0)).cast("long")
+        sums += [F.sum(weight).alias(f"__w{b}"), F.sum(weight * F.col("__v")).alias(f"__s{b}")]
+    for b in range(buckets):
+        sums += [F.count_if(F.col("__part") == b).alias(f"__pw{b}"), F.sum(F.when(F.col("__part") == b, F.col("__v"))).alias(f"__ps{b}")]
+    whole = rows.groupBy(*by).agg(*sums)
+    thousandths = lambda s, n: F.floor(F.col(s) * 1000 / F.col(n)).cast("long")
+    means = lambda s, w, k: F.array_sort(F.filter(F.array(*[F.when(F.col(f"{w}{b}") > 0, thousandths(f"{s}{b}", f"{w}{b}")) for b in range(k)]), lambda x: x.isNotNull()))
+    found = whole.select(*by, "n", thousandths("__s", "n").alias("mean"), means("__s", "__w", replicates).alias("__all"), means("__ps", "__pw", buckets).alias("__parts"))
+    skipped = F.floor(F.size("__all") * F.lit(tail)).cast("int")
+    return found.select(*by, "n", "mean", F.get("__all", skipped).alias("low"), F.get("__all", F.size("__all") - 1 - skipped).alias("high"), F.get("__parts", F.floor((F.size("__parts") - 1) / 2).cast("int")).alias("middle"))
+
+
 def hamiltonian_dives(spark: SparkSession, neighbours: list[list[int]], dives: int, seed: int = 1, biased: bool = False) -> DataFrame:
     """(weight) of random walks over unvisited neighbours from 0: the product of the numbers of choices if the walk
     closes to a Hamiltonian cycle, halved, else 0; its mean is the number of cycles. Biased walks prefer the neighbour

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import races, residues, strong
+from tallyforge.operators import races, residues, sampling, strong
 from tallyforge.operators.loops import cut
 from tallyforge.plans.queries import _WORDS, _corr_sql, cents, event_words, query, table
 
@@ -114,3 +114,26 @@ def part_succession_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_succession(spark, sf_dir)
     found = strong.condensation(edges, strong.strong_components(edges))
     return found.groupBy("size").agg(F.count(F.lit(1)).alias("components"), F.count_if(F.col("in_edges") == 0).alias("sources"), F.count_if(F.col("out_edges") == 0).alias("sinks"))
+
+
+# Intervals -------------------------------------------------------------------------------------------------------------
+
+_KEY = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)"
+_WEIGHT = " + ".join(f"CAST(d >= {bound} AS BIGINT)" for bound in sampling._AT_MOST)
+
+
+@query(
+    f"""WITH r AS (SELECT l_returnflag, {_KEY} AS k, CAST(l_quantity AS BIGINT) AS v FROM lineitem),
+    h AS (SELECT l_returnflag, v, b, CAST('0x' || substr(md5(k || '/' || CAST(b // 8 AS VARCHAR)), CAST(4 * (b % 8) + 1 AS INTEGER), 4) AS BIGINT) AS d FROM r, range(40) x(b)),
+    m AS (SELECT l_returnflag, b, CAST(floor(sum(w * v) * 1000 / sum(w)) AS BIGINT) AS m FROM (SELECT *, {_WEIGHT} AS w FROM h) GROUP BY 1, 2),
+    o AS (SELECT l_returnflag, list_sort(list(m)) AS l FROM m GROUP BY 1),
+    p AS (SELECT l_returnflag, CAST('0x' || left(md5(k || '/part'), 1) AS BIGINT) AS p, CAST(floor(sum(v) * 1000 / count(*)) AS BIGINT) AS m FROM r GROUP BY 1, 2),
+    q AS (SELECT l_returnflag, list_sort(list(m)) AS l FROM p GROUP BY 1),
+    n AS (SELECT l_returnflag, count(*) AS n, CAST(floor(sum(v) * 1000 / count(*)) AS BIGINT) AS mean FROM r GROUP BY 1)
+    SELECT l_returnflag, n, mean, o.l[2] AS low, o.l[39] AS high, q.l[(len(q.l) + 1) // 2] AS middle FROM n JOIN o USING (l_returnflag) JOIN q USING (l_returnflag)"""
+)
+def quantity_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean quantity by return flag with a bootstrap interval of 40 replicates and the median of the means of 16 parts."""
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", key.alias("key"), F.col("l_quantity").cast("long").alias("v"))
+    return sampling.poisson_bootstrap(lines, ["l_returnflag"], "key", "v")

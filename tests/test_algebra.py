@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import kernels as K
-from tallyforge.operators import exact, functional_graph, graphs, races, residues
+from tallyforge.operators import exact, functional_graph, graphs, races, residues, sampling
 
 
 def test_primes_and_fractions():
@@ -133,3 +133,19 @@ def test_other_bounds_raise_errors(spark):
         p.select(K.lucas_lehmer(F.col("p"))).collect()
     with pytest.raises(Exception, match="below 2"):
         functional_graph.parameter_sums(spark.createDataFrame([(2**20, 1, 1)], "n long, c long, times long")).collect()
+
+
+# Bootstrap -------------------------------------------------------------------------------------------------------------
+
+
+def test_bootstrap_interval(spark):
+    """Its width is near that of the normal interval; nulls are left out; an empty group has no row."""
+    rng = random.Random(4)
+    values = [rng.randrange(100) for _ in range(4000)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)] + [("b", 1, 7), ("c", 2, None), ("c", None, 5), (None, 3, 9)], "g string, id long, v long")
+    rows = {r["g"]: r for r in sampling.poisson_bootstrap(df, ["g"], "id", "v", replicates=80).collect()}
+    mean, se = sum(values) / 4000, (sum((v - sum(values) / 4000) ** 2 for v in values) / 4000 / 4000) ** 0.5
+    a = rows["a"]
+    assert a["n"] == 4000 and a["mean"] == int(mean * 1000) and a["low"] < a["mean"] < a["high"]
+    assert 2.5 * se < (a["high"] - a["low"]) / 1000 < 5.5 * se and abs(a["middle"] - a["mean"]) < 4000 * se
+    assert (rows["b"]["n"], rows["b"]["mean"], rows["b"]["middle"]) == (1, 7000, 7000) and rows.keys() == {"a", "b", None}
