@@ -41,6 +41,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def held_out(id_col: str) -> Column:
+    """Whether a row's labels are never learned from, by its id; null for a null id, which the queries give as false."""
     return F.crc32(F.col(quoted(id_col)).cast("string").cast("binary")) % 4 == 2
 
 
@@ -190,5 +191,5 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", drop: tu
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), fit(docs), drop=("text",))
+    found = identify(docs.select("doc_id", "text", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out")), fit(docs), drop=("text",))
     return found.select("doc_id", "held_out", "lang_pred", "score")

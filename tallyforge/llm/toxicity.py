@@ -313,5 +313,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Dat
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    found = score(docs.select("doc_id", "text", langid.held_out("doc_id").alias("held_out")), model, drop=("text",))
+    found = score(docs.select("doc_id", "text", F.coalesce(langid.held_out("doc_id"), F.lit(False)).alias("held_out")), model, drop=("text",))
     return found.select("doc_id", "held_out", "score", "predicted")

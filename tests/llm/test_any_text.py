@@ -48,3 +48,10 @@ def test_secrets_query_equals_brute_force(spark, tmp_path):
     for r in got:
         kept = [s for s in r["spans"].split(",") if s.split(":")[0] in BASE]
         assert hashlib.sha256(",".join(kept).encode()).hexdigest() == r["base_sha256"]
+
+
+def test_a_null_id_is_not_held_out(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(60).union(spark.createDataFrame([(None, "some text", None), (None, None, None)], "doc_id long, text string, lang string")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES["op10_language_id"](spark, str(tmp_path)).collect()
+    assert len(rows) == 62 and [r["held_out"] for r in rows if r["doc_id"] is None] == [False, False]
+    assert {r["held_out"] for r in rows} == {True, False}
