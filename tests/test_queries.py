@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tallyforge.plans import queries as plans
-from tallyforge.plans import algebra, reports, structures  # noqa: F401  they register their queries with those of plans
+from tallyforge.plans import algebra, reports, searches, structures  # noqa: F401  they register their queries with those of plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
