@@ -75,3 +75,18 @@ def trade_coded_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycles of two to five major partners by colour coding, confirmed by the edges; lengths without one have no row."""
     edges = trade_edges(spark, sf_dir)
     return cycles.checked(edges, reduce(DataFrame.union, [cycles.coded_cycle(edges, k) for k in (2, 3, 4, 5)])).select("length", "verified")
+
+
+@query(
+    "WITH RECURSIVE "
+    + _TRADE
+    + """, reach(s, d) AS (SELECT src, dst FROM e UNION SELECT reach.s, e.dst FROM reach JOIN e ON reach.d = e.src),
+    i AS (SELECT src, dst FROM e JOIN reach ON d = src AND s = dst),
+    p(first, head, mask) AS (SELECT DISTINCT src, src, CAST(1 AS BIGINT) << src FROM i
+        UNION SELECT first, i.dst, mask | (CAST(1 AS BIGINT) << i.dst) FROM p JOIN i ON i.src = p.head WHERE i.dst > first AND (mask >> i.dst) & 1 = 0)
+    SELECT DISTINCT CAST(bit_count(mask) AS INTEGER) AS length, true AS verified FROM p JOIN i ON i.src = p.head AND i.dst = p.first"""
+)
+def trade_cycle_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of all simple cycles of major partners, and whether the edges confirm a witness of each."""
+    edges = trade_edges(spark, sf_dir)
+    return cycles.checked(edges, cycles.cycle_lengths(edges)).select("length", "verified")
