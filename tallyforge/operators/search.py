@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import kernels as K
+from tallyforge.operators import symmetry
 from tallyforge.operators.loops import cut, merged
 
 
@@ -40,14 +41,12 @@ def graceful_labelings(spark: SparkSession, edges: list[tuple[int, int]]) -> int
 
 
 def automorphisms(edges: DataFrame, vertices: int) -> DataFrame:
-    """(p: array<int>) of permutations of 1 .. vertices (at most 8) that keep a symmetric edge set (src, dst from 0)."""
-    from tallyforge.functions.generators import permutations
-
-    table = cut(edges.select("src", "dst").distinct())
-    n = table.count()
-    image = permutations(edges.sparkSession, vertices).join(table).select("rank", "p", (F.get("p", F.col("src").cast("int")) - 1).cast("long").alias("src"), (F.get("p", F.col("dst").cast("int")) - 1).cast("long").alias("dst"))
-    kept = image.join(table.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), ["src", "dst"]).groupBy("rank", "p").count()
-    return kept.where(F.col("count") == n).select("p")
+    """(p: array<int>) of permutations of 1 .. vertices (63 at most) that keep a symmetric edge set (src, dst from 0). Images
+    are tried within refined colours only; symmetry.orbits() counts them without a row for each."""
+    table = cut(edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
+    nodes = edges.sparkSession.range(vertices).select(F.col("id").alias("node"), F.lit(0).alias("colour"))
+    moving, images = symmetry.colour_automorphisms(table, nodes)
+    return images.select(F.array(*[((F.get("images", moving.index(v)) if v in moving else F.lit(v)) + 1).cast("int") for v in range(vertices)]).alias("p"))
 
 
 def attacks(spark: SparkSession, surface: str, n: int, steps: list[tuple[int, int]], slide: bool) -> DataFrame:

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import binary, cycles
+from tallyforge.operators import binary, cycles, symmetry
 from tallyforge.operators.loops import cut
 from tallyforge.plans.queries import _BEATS, _TRADE, brand_tournament, query, table, trade_edges
+from tallyforge.plans.structures import _MUTUAL, mutual_partners
 
 # Kernels ---------------------------------------------------------------------------------------------------------------
 
@@ -90,3 +91,29 @@ def trade_cycle_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of all simple cycles of major partners, and whether the edges confirm a witness of each."""
     edges = trade_edges(spark, sf_dir)
     return cycles.checked(edges, cycles.cycle_lengths(edges)).select("length", "verified")
+
+
+# Symmetry --------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH RECURSIVE "
+    + _MUTUAL
+    + """, c0 AS (SELECT src AS v, CAST(count(*) AS VARCHAR) AS c FROM u GROUP BY 1),
+    c1 AS (SELECT src AS v, any_value(a.c) || '(' || string_agg(b.c, ',' ORDER BY b.c) || ')' AS c FROM u JOIN c0 a ON a.v = src JOIN c0 b ON b.v = dst GROUP BY 1),
+    c2 AS (SELECT src AS v, any_value(a.c) || '(' || string_agg(b.c, ',' ORDER BY b.c) || ')' AS c FROM u JOIN c1 a ON a.v = src JOIN c1 b ON b.v = dst GROUP BY 1),
+    o AS (SELECT v, c, row_number() OVER (ORDER BY v) AS k FROM c2), n AS (SELECT max(k) AS n FROM o),
+    near AS (SELECT x.k, list(y.k) AS ks, list(y.v) AS vs, any_value(x.v) AS v, any_value(x.c) AS c FROM u JOIN o x ON x.v = src JOIN o y ON y.v = dst GROUP BY 1),
+    p(k, images) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+        UNION ALL
+        SELECT a.k, list_append(images, b.v) FROM p JOIN near a ON a.k = p.k + 1 JOIN near b ON a.c = b.c AND NOT list_contains(images, b.v)
+        WHERE len(list_filter(range(1, a.k), lambda j: list_contains(a.ks, j) <> list_contains(b.vs, images[j]))) = 0),
+    f AS (SELECT images FROM p, n WHERE k = n)
+    SELECT o.v AS nation, min(images[o.k]) AS orbit, CAST(count(*) AS VARCHAR) AS automorphisms FROM f, o GROUP BY 1"""
+)
+def mutual_partner_orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations that symmetries of the graph of mutual partners exchange, each with the least of them, and how many symmetries
+    there are."""
+    edges = mutual_partners(spark, sf_dir)
+    found, order = symmetry.orbits(edges, edges.select(F.col("src").alias("node")))
+    return found.select(F.col("node").alias("nation"), "orbit", F.lit(str(order)).alias("automorphisms"))
