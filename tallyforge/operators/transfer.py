@@ -110,18 +110,40 @@ def fault_free_tilings(spark: SparkSession, rows: int, cols: int) -> int:
     return int(signed.agg(F.sum(F.col("sign") * F.col("orders") * F.col("g")).alias("n")).first()["n"])
 
 
+def subset_sums(counts: DataFrame, bits: int, modulus: int | None = None) -> DataFrame:
+    """(mask, cnt) for masks of so many bits (62 at most): the sum of the counts (mask, cnt) of all subsets of a mask. Masks
+    without a subset among the counts have no row; there can be 2**bits rows. A round takes four bits: a mask counts for the
+    16 sets at most that have more of these bits, partial sums come before the shuffle, and no two masks meet."""
+    if not 0 <= bits <= 62:
+        raise ValueError("masks have 62 bits at most")
+    now = merged(counts, ["mask"])
+    for low in range(0, bits, 4):
+        width = min(4, bits - low)
+        own = F.shiftright("mask", low).bitwiseAND(F.lit((1 << width) - 1))
+        rest = F.col("mask").bitwiseAND(F.lit(~(((1 << width) - 1) << low)))
+        more = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << width) - 1).cast("long")), lambda j: j.bitwiseAND(F.col("own")) == F.col("own"))
+        now = now.select(own.alias("own"), rest.alias("rest"), "cnt").select("rest", F.explode(more).alias("set"), "cnt")
+        now = merged(now.select(F.col("rest").bitwiseOR(F.shiftleft("set", low)).alias("mask"), "cnt"), ["mask"])
+        if modulus:
+            now = now.select("mask", (F.col("cnt") % modulus).cast("decimal(38,0)").alias("cnt"))
+    return now
+
+
 def king_placements(spark: SparkSession, n: int, cyclic: bool, modulus: int | None = None) -> int:
-    """Sets of cells of an n by n board (a cylinder if cyclic) of which no two touch: line states that are compatible
-    follow each other."""
-    states = cut(generators.line_states(spark, n, cyclic))
-    wide = lambda m: m.bitwiseOR(F.shiftleft(m, 1)).bitwiseOR(F.shiftright(m, 1))
-    spread = wide(F.col("a.mask"))
+    """Sets of cells of an n by n board (a cylinder if cyclic) of which no two touch. A line may follow those that stay within
+    the cells it doesn't touch, so a step is the sums over subsets, read at these cells; pairs of lines aren't joined."""
+    states = generators.line_states(spark, n, cyclic)
+    touched = F.col("mask").bitwiseOR(F.shiftleft("mask", 1)).bitwiseOR(F.shiftright("mask", 1))
     if cyclic and n > 1:
-        around = F.when(F.col("a.mask").bitwiseAND(F.lit(1)) == 1, F.lit(1 << (n - 1))).otherwise(F.lit(0)).bitwiseOR(F.shiftright(F.col("a.mask"), n - 1))
-        spread = spread.bitwiseOR(around)
-    follow = states.alias("a").join(states.alias("b"), spread.bitwiseAND(F.col("b.mask")) == 0).select(F.col("a.mask").alias("src"), F.col("b.mask").alias("dst"), F.lit(1).cast("long").alias("w"))
-    found = iterate(states.select(F.col("mask").alias("state"), F.lit(1).alias("cnt")), follow, n - 1, modulus)
-    return int(found.agg(F.sum("cnt").alias("n")).first()["n"])
+        around = F.when(F.col("mask").bitwiseAND(F.lit(1)) == 1, F.lit(1 << (n - 1))).otherwise(F.lit(0)).bitwiseOR(F.shiftright("mask", n - 1))
+        touched = touched.bitwiseOR(around)
+    free = F.lit((1 << n) - 1).bitwiseAND(F.bitwise_not(touched))
+    states = cut(states.select(F.col("mask").alias("line"), free.alias("mask")))
+    now = states.select(F.col("line").alias("mask"), F.lit(1).cast("decimal(38,0)").alias("cnt"))
+    for _ in range(n - 1):
+        now = cut(states.join(subset_sums(now, n, modulus), "mask").select(F.col("line").alias("mask"), "cnt"))
+    found = int(now.agg(F.sum("cnt").alias("n")).first()["n"])
+    return found % modulus if modulus else found
 
 
 def chip_states(spark: SparkSession, n: int) -> DataFrame:

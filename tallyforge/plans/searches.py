@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import binary, cycles, symmetry
+from tallyforge.operators import binary, cycles, symmetry, transfer
 from tallyforge.operators.loops import cut
 from tallyforge.plans.queries import _BEATS, _TRADE, brand_tournament, query, table, trade_edges
 from tallyforge.plans.structures import _MUTUAL, mutual_partners
@@ -117,3 +117,21 @@ def mutual_partner_orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = mutual_partners(spark, sf_dir)
     found, order = symmetry.orbits(edges, edges.select(F.col("src").alias("node")))
     return found.select(F.col("node").alias("nation"), "orbit", F.lit(str(order)).alias("automorphisms"))
+
+
+# Sums over subsets -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH m AS (SELECT o_custkey, bit_or(1 << (CAST(month(o_orderdate) AS INTEGER) - 1)) AS months FROM orders GROUP BY 1),
+    c AS (SELECT CAST(months AS BIGINT) AS months, count(*) AS customers FROM m GROUP BY 1)
+    SELECT a.months, a.customers, CAST(sum(b.customers) AS BIGINT) AS within FROM c a JOIN c b ON b.months & ~a.months = 0 GROUP BY 1, 2"""
+)
+def customers_within_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of months in which some customer's orders lie (bit 0 is January), how many customers have exactly these, and how many
+    have no order in any other month."""
+    month = F.call_function("shiftleft", F.lit(1).cast("long"), F.month("o_orderdate") - 1)
+    sets = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL AND o_orderdate IS NOT NULL").groupBy("o_custkey").agg(F.bit_or(month).alias("months"))
+    counts = cut(sets.groupBy("months").agg(F.count(F.lit(1)).alias("customers")))
+    sums = transfer.subset_sums(counts.select(F.col("months").alias("mask"), F.col("customers").alias("cnt")), 12)
+    return counts.join(sums.withColumnRenamed("mask", "months"), "months").select("months", "customers", F.col("cnt").cast("long").alias("within"))
