@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import binary, cycles, symmetry, transfer
+from tallyforge.operators import binary, cycles, sieve, symmetry, transfer
 from tallyforge.operators.loops import cut
 from tallyforge.plans.queries import _BEATS, _TRADE, brand_tournament, query, table, trade_edges
 from tallyforge.plans.structures import _MUTUAL, mutual_partners
@@ -135,3 +135,19 @@ def customers_within_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cut(sets.groupBy("months").agg(F.count(F.lit(1)).alias("customers")))
     sums = transfer.subset_sums(counts.select(F.col("months").alias("mask"), F.col("customers").alias("cnt")), 12)
     return counts.join(sums.withColumnRenamed("mask", "months"), "months").select("months", "customers", F.col("cnt").cast("long").alias("within"))
+
+
+# Numbers ---------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT n, count(*) AS customers FROM (SELECT o_custkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) GROUP BY 1),
+    p(n, k, x) AS (SELECT n, CAST(1 AS BIGINT), 2 % n FROM t WHERE n % 2 = 1 AND n > 1 UNION ALL SELECT n, k + 1, x * 2 % n FROM p WHERE x <> 1)
+    SELECT n AS total, customers, max(k) AS period FROM p JOIN t USING (n) GROUP BY 1, 2"""
+)
+def quantity_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd total quantities of customers, how many customers have each, and the period of the binary fraction one over it."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("q")).join(orders, "l_orderkey")
+    totals = cut(lines.groupBy("o_custkey").agg(F.sum("q").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("customers")))
+    return sieve.multiplicative_orders(totals.select("n"), 2).join(totals, "n").select(F.col("n").alias("total"), "customers", F.col("ord").alias("period"))
