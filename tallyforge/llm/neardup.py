@@ -4,13 +4,13 @@ A document's set is its distinct word shingles (a text of fewer words is one shi
 and the same set are a class, by a 128-bit digest. Classes that share a band of their minima are a group; groups of the
 same members count once. Large groups are dealt into blocks of about BLOCK members with their least member in each.
 Signatures drop members of a block that resemble nobody there; what is left is verified on full sets. What a first round
-leaves in different components of a large group meets again, split by a second band and block against block: by
-signatures, then on full sets. So no pair of a group goes unverified, and no task holds more than two blocks. A task
-gives at most one link for each member, never a group's pairs.
+leaves in different components of a large group meets again, block against block: by signatures, then on full sets.
+Where that is many rows, the members are first grouped by their rarest shingles, of which two sets that are similar
+enough always share one. So no pair of a group is left out, and no task holds more than two blocks. A task gives at most
+one link for each member, never a group's pairs.
 
 With BANDS bands of ROWS minima, two sets of similarity 0.8 share none with a chance of 3 in a million; that their
-signatures agree in less than SIGNATURE_SHARE has the same chance. In large groups that stay apart, two such sets share
-no second band with a chance of 5 in 100,000.
+signatures agree in less than SIGNATURE_SHARE has the same chance, in groups of any size.
 
 Defined results: a text without words, or null, has the empty set, and is linked with nothing; rows of one id are one
 document; a row with a null id is linked with nothing, has a null component, and stays; identical texts are linked; an empty table gives an empty result;
@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyforge.llm.common import WordHashes, as_table, lowered_words, mixed, quoted, rolling, table, with_outputs
+from tallyforge.llm.common import ROWS_AT_ONCE, WordHashes, as_table, drop_table, lowered_words, mixed, quoted, rolling, table, with_outputs
 from tallyforge.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
 BLOCK = 512
 #: Signatures that agree in a smaller share are not verified: 4.7 standard deviations below 0.8.
 SIGNATURE_SHARE = 0.65
+#: Cells of the counts that put shingles in order: a table of this size at most goes through the driver.
+CELLS = 2**18
 
 
 def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -264,35 +266,88 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return found.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
 
 
+def _cells(shingle_hashes: np.ndarray) -> np.ndarray:
+    return (shingle_hashes % np.uint64(CELLS)).astype(np.int64)
+
+
+def rarest(shingle_hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """So many of a set's shingles, in order of their cells' counts and then of the hashes, that two sets of similarity
+    ``percent`` share one: of n shingles at least a = ceil(n * percent / 100) are common, and the first common one of
+    that order has a - 1 others behind it in both sets."""
+    n = len(shingle_hashes)
+    first = n - (n * percent + 99) // 100 + 1
+    return shingle_hashes[np.lexsort((shingle_hashes, counts[_cells(shingle_hashes)]))[:first]]
+
+
+def _by_rarest(held: DataFrame, width: int, percent: int) -> DataFrame:
+    """``held`` (node, c, text) by the rarest shingles of each text: (h, node, c). How rare they are is counted among
+    ``held``, in CELLS cells; shingles that meet in a cell change the order, which any order may be, not what is found."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                cells, n = np.unique(_cells(shingles(text.as_py(), width, hashes)), return_counts=True)
+                counts[cells] += n
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["cell", "n"])
+
+    table_of = held.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[table_of.column("cell").to_numpy()] = table_of.column("n").to_numpy()
+    known = held.sparkSession.sparkContext.broadcast(counts)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, names = WordHashes(), ["h", "node", "c"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                chosen = [rarest(shingles(t, width, hashes), known.value, percent) for t in batch.column(2).to_pylist()]
+                sizes = [len(c) for c in chosen]
+                node, c = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen).view(np.int64)), pa.array(node), pa.array(c)], names=names)
+
+    return held.select("node", "c", "text").mapInArrow(part, "h long, node long, c long").distinct()
+
+
 def _mark(node: str, seed: int) -> Column:
-    """Hashes by exclusive or: equal for groups of the same members, and never too large."""
-    return F.bit_xor(F.xxhash64(node, F.lit(seed))).alias(f"f{seed}")
+    """Sums of hashes of 36 bits: equal for groups of the same members, each as often (a row's id may have several sets,
+    which would cancel out in an exclusive or)."""
+    return F.sum(F.shiftright(F.xxhash64(node, F.lit(seed)), 28)).alias(f"f{seed}")
 
 
 def _uneven(placed: DataFrame, block: int) -> DataFrame:
-    """Groups of ``placed`` (h, node, c) with more than one component: the largest, and how many blocks those outside of
-    it and those within fill. Groups of the same members count once."""
+    """Groups of ``placed`` (h, node, c) with more than one component: their size, the largest component, and how many
+    blocks those outside of it and those within fill. Groups of the same members count once."""
     counts = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), _mark("node", 1), _mark("node", 2))
-    largest = counts.groupBy("h").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("m"), F.bit_xor("f1").alias("f1"), F.bit_xor("f2").alias("f2")).where("top.n < m")
+    largest = counts.groupBy("h").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("m"), F.sum("f1").alias("f1"), F.sum("f2").alias("f2")).where("top.n < m")
     largest = largest.groupBy("m", "f1", "f2", "top").agg(F.min("h").alias("h"))
-    return largest.select("h", F.col("top.c").alias("top"), F.ceil((F.col("m") - F.col("top.n")) / block).cast("int").alias("outer"), F.ceil(F.col("top.n") / block).cast("int").alias("inner"))
+    return largest.select("h", "m", F.col("top.c").alias("top"), F.ceil((F.col("m") - F.col("top.n")) / block).cast("int").alias("outer"), F.ceil(F.col("top.n") / block).cast("int").alias("inner"))
+
+
+def _rows(uneven: DataFrame) -> int:
+    """How many rows the members of groups give, each to meet all blocks."""
+    return uneven.agg(F.sum(F.col("m").cast("decimal(38,0)") * (F.col("outer") + F.col("inner")))).first()[0] or 0
 
 
 def _left_apart(many: DataFrame, classes: DataFrame, component: DataFrame, texts: DataFrame, block: int, width: int, percent: int) -> DataFrame:
     """Links between members of large groups that are in different components so far. Members outside of a group's
     largest component meet each other and all of that component, in pairs of blocks: by their signatures first, then
-    those that resemble in full. Where those outside fill more than one block, the group is split by a second band
-    before that, as two similar sets share more than one."""
+    those that resemble in full. Where those outside fill more than one block, members are grouped by their rarest
+    shingles instead if that gives fewer rows to compare; either way each similar pair meets."""
     placed = many.select("h", "node").join(component, "node", "left").select("h", "node", F.coalesce("component", "node").alias("c"))
     placed = as_table(placed, "placed")
     uneven = as_table(_uneven(placed, block), "uneven")
-    sided = placed.join(uneven.where("outer = 1"), "h")
-    wide = uneven.where("outer > 1").select("h")
+    wide = uneven.where("outer > 1")
+    sided = placed.join(uneven, "h")
     if wide.limit(1).count():
-        second = classes.select(F.col("id").alias("node"), F.explode("bands").alias("s"))
-        parts = placed.join(wide, "h", "left_semi").join(second, "node").where("h <> s")
-        parts = as_table(parts.select(F.xxhash64(F.least("h", "s"), F.greatest("h", "s")).alias("h"), "node", "c").distinct(), "parts")
-        sided = sided.union(parts.join(_uneven(parts, block), "h"))
+        held = placed.join(wide.select("h"), "h", "left_semi").select("node", "c").distinct()
+        held = as_table(held.hint("merge").join(texts, "node").select("node", "c", "text"), "held")
+        parts = as_table(_by_rarest(held, width, percent), "parts")
+        drop_table(held)
+        uneven_parts = as_table(_uneven(parts, block), "uneven")
+        if _rows(uneven_parts) < _rows(wide):
+            sided = placed.join(uneven.where("outer = 1"), "h").union(parts.join(uneven_parts, "h"))
     # blocks 0 .. outer-1 hold those outside, outer .. outer+inner-1 the largest component
     own = F.when(F.col("c") == F.col("top"), F.col("outer") + F.pmod(F.xxhash64("node", F.lit(4)), F.col("inner"))).otherwise(F.pmod(F.xxhash64("node", F.lit(4)), F.col("outer"))).cast("int")
     others = F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)

@@ -119,3 +119,67 @@ def test_large_group_of_which_little_resembles(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, width=4, block=4).collect()}
     assert got == brute(rows, 4)
     assert {got[i][1] for i in (105, 117, 139)} == {5, 17, 39}
+
+
+def test_pair_with_one_common_band_in_a_large_group(spark):
+    """Two sets of similarity 0.8 whose only common band is also that of twelve sets like nobody, in blocks of 4: neither
+    is in the other's block, and no second band joins them."""
+    hashes, minhash = neardup.WordHashes(), neardup.MinHash()
+    bands = lambda t: minhash.of(neardup.shingles(t, 4, hashes)).reshape(neardup.BANDS, neardup.ROWS)
+    core = " ".join(f"w53482x{i}" for i in range(11))
+    pair = [f"{core} left", f"{core} right"]
+    (band,) = np.flatnonzero((bands(pair[0]) == bands(pair[1])).all(axis=1))
+    more = (f"{core} " + " ".join(f"y{k}z{i}" for i in range(5)) for k in range(10_000))
+    others = [t for t in more if (bands(t)[band] == bands(pair[0])[band]).all()][:12]
+    assert len(others) == 12
+    rows = [*enumerate(others), (100, pair[0]), (102, pair[1])]  # the blocks go by a hash of the id
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, width=4, block=4).collect()}
+    assert got == brute(rows, 4)
+    assert got[102][1] == 100
+
+
+@pytest.mark.parametrize("few_ends", [False, True])
+def test_large_groups_split_by_shingles_or_not(spark, monkeypatch, few_ends):
+    """Common beginnings and various ends, in blocks of 4. Where many sets have the same rare shingles, splitting by them
+    saves nothing, and blocks of the group itself meet."""
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(60)]
+    ends = [" ".join(f"x{n}" for n in rng.integers(0, 8, 12)) for _ in range(8)]
+    rows = []
+    for i in range(48):
+        own = " ".join(ends[n] for n in rng.permutation(8)[:4]) if few_ends else " ".join(f"x{n}" for n in rng.integers(0, 10**9, 24))
+        rows.append((i, " ".join(common) + " " + own))
+    rows += [(100 + i, rows[i][1] + " end") for i in (3, 21)]
+    seen, rows_of = [], neardup._rows
+    monkeypatch.setattr(neardup, "_rows", lambda uneven: seen.append(rows_of(uneven)) or seen[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, width=4, block=4).collect()}
+    assert got == brute(rows, 4)
+    assert (seen[0] > seen[1]) == few_ends
+
+
+def test_similar_sets_share_a_rare_shingle():
+    """In any order of shingles, two sets that are similar enough share one of those chosen from each."""
+    rng = np.random.default_rng(6)
+    met = 0
+    for _ in range(3000):
+        counts = rng.integers(0, 4, neardup.CELLS).astype(np.int32)
+        percent = int(rng.integers(1, 101))
+        both, a, b = (rng.integers(0, 2**64, int(rng.integers(0, 9)), np.uint64) for _ in range(3))
+        a, b = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+        shared = len(np.intersect1d(a, b))
+        if shared and 100 * shared >= percent * len(np.union1d(a, b)):
+            met += 1
+            assert len(np.intersect1d(neardup.rarest(a, counts, percent), neardup.rarest(b, counts, percent)))
+    assert met > 500
+
+
+def test_groups_of_rows_of_one_id_with_different_texts(spark):
+    """Two long texts of id 1: two texts of id 2 are like one of them, two of id 3 like the other. All bands give a
+    group of 1, 2, 2 or one of 1, 3, 3, which aren't the same."""
+    words = {k: [f"{k}{i}" for i in range(4000)] for k in "ab"}
+    rows = [(1, " ".join(words["a"])), (1, " ".join(words["b"]))]
+    rows += [(i, " ".join([*words[k], end])) for i, k in ((2, "a"), (3, "b")) for end in ("this", "that")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1)}
