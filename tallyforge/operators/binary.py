@@ -62,13 +62,17 @@ def _merged(rows: DataFrame) -> list[tuple[int, int]]:
     return sorted((r["row"], r["bits"]) for r in parts.collect())
 
 
+def _places(ones: DataFrame) -> DataFrame:
+    """(row, col) of the ones without a null; a negative column raises an error."""
+    col = F.when(F.col("col") >= 0, F.col("col").cast("long")).otherwise(F.raise_error(F.lit("columns are numbered from 0")).cast("long"))
+    return ones.where("row IS NOT NULL AND col IS NOT NULL").select(F.col("row").cast("long").alias("row"), col.alias("col"))
+
+
 def packed(ones: DataFrame) -> DataFrame:
     """(row, word, bits) of the ones (row, col) of a matrix; columns are whole numbers from 0. A one that comes an even number
     of times cancels out, and nulls are left out. A negative column raises an error."""
-    col = F.when(F.col("col") >= 0, F.col("col").cast("long")).otherwise(F.raise_error(F.lit("columns are numbered from 0")).cast("long"))
-    found = ones.where("row IS NOT NULL AND col IS NOT NULL").select(F.col("row").cast("long").alias("row"), col.alias("col"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("col") % WORD).cast("int"))
-    return found.select("row", F.floor(F.col("col") / WORD).alias("word"), bit.alias("bits")).groupBy("row", "word").agg(F.bit_xor("bits").alias("bits")).where("bits <> 0")
+    return _places(ones).select("row", F.floor(F.col("col") / WORD).alias("word"), bit.alias("bits")).groupBy("row", "word").agg(F.bit_xor("bits").alias("bits")).where("bits <> 0")
 
 
 def unpacked(words: DataFrame) -> DataFrame:
@@ -119,11 +123,14 @@ def kernel_basis(ones: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def cancelling(ones: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(vector, size, cancels): whether the columns of each vector (vector, col) add up to zero in every row of the matrix."""
-    ones = unpacked(packed(ones))
+    """(vector, size, cancels): whether the columns of each vector (vector, col) add up to zero in every row of the matrix. 64 rows,
+    named by any whole numbers, are one word of a column, and a vector's sum is taken word by word. Spark takes vectors unpacked
+    from bits for far fewer than they are, and would broadcast them; so the join is one of sorted rows."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("row").bitwiseAND(63).cast("int"))
+    columns = _places(ones).select("col", F.shiftright("row", 6).alias("word"), bit.alias("bits")).groupBy("col", "word").agg(F.bit_xor("bits").alias("bits")).where("bits <> 0")
     sizes = vectors.groupBy("vector").agg(F.count(F.lit(1)).alias("size"))
-    met = vectors.join(ones, "col").groupBy("vector", "row").agg(F.count(F.lit(1)).alias("n"))
-    odd = met.where(F.col("n") % 2 == 1).select("vector").distinct()
+    sums = vectors.join(columns.hint("merge"), "col").groupBy("vector", "word").agg(F.bit_xor("bits").alias("bits"))
+    odd = sums.where("bits <> 0").select("vector").distinct()
     return sizes.join(odd.withColumn("odd", F.lit(True)), "vector", "left").select("vector", "size", F.col("odd").isNull().alias("cancels"))
 
 

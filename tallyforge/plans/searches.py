@@ -39,7 +39,7 @@ def parity_kernel_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     ones = cut(odd)
     basis = cut(binary.kernel_basis(ones, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("col"))))
     members = basis.groupBy("vector").agg(F.array_join(F.array_sort(F.collect_list("col")).cast("array<string>"), "-").alias("members"))
-    return members.join(binary.cancelling(ones, basis), "vector").select(F.col("vector").alias("custkey"), "members", "size", "cancels")
+    return members.hint("merge").join(binary.cancelling(ones, basis), "vector").select(F.col("vector").alias("custkey"), "members", "size", "cancels")
 
 
 # Cycles ----------------------------------------------------------------------------------------------------------------

@@ -57,6 +57,23 @@ def test_odd_matrices(spark):
         binary.row_echelon(spark.createDataFrame([(1, -1)], "row long, col long"))
 
 
+def test_cancelling_with_rows_of_any_names(spark):
+    rng = random.Random(11)
+    names = [0, 31, 62, 63, 64, 127, 128, -1, -63, -64, -65, 2**53, 2**53 + 1, 2**63 - 1, -(2**63)]
+    ones = [(name, c) for name in names for c in range(40) if rng.random() < 0.1]
+    ones += ones[:5] * 2 + [(None, 1), (3, None)]  # thrice is once
+    columns = {c: {row for row, col in ones if col == c and row is not None} for c in range(40)}
+    vectors = [(v, c) for v in range(200) for c in rng.sample(range(40), rng.randint(1, 3))]
+    vectors += [(200, 5), (200, 5), (201, 6), (201, 6), (201, 6), (202, 99)]
+    want = {}
+    for v, c in vectors:
+        size, left = want.get(v, (0, set()))
+        want[v] = (size + 1, left ^ columns.get(c, set()))
+    found = binary.cancelling(spark.createDataFrame(ones, "row long, col long"), spark.createDataFrame(vectors, "vector long, col long"))
+    assert {r["vector"]: (r["size"], r["cancels"]) for r in found.collect()} == {v: (size, not left) for v, (size, left) in want.items()}
+    assert 3 <= sum(not left for _, left in want.values()) <= 150
+
+
 def test_asymmetric_places(spark):
     ones = spark.createDataFrame([(0, 1), (1, 0), (2, 2), (2, 0), (70, 3), (3, 70)], "row long, col long")
     assert [tuple(r) for r in binary.asymmetric(ones).collect()] == [(2, 0)]

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from tallyforge.plans import queries as plans
+from tallyforge.plans import searches
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +90,27 @@ def test_components_of_all_line_items(spark, tmp_path, seed):
     spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_returnflag string, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     found = plans.QUERIES["supplier_part_components"](spark, str(tmp_path))
     assert sorted((r["size"], r["components"]) for r in found.collect()) == union_find_sizes(links)
+
+
+def test_kernel_basis_of_many_customers(spark, tmp_path):
+    """Half a million members of vectors, with 8 MB at most to broadcast."""
+    n, rng = 40_000, random.Random(3)
+    put = lambda name, found, schema: spark.createDataFrame(found, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("customer", [(c,) for c in range(n)], "c_custkey long")
+    put("orders", [(c + 7, c) for c in range(n - 100)], "o_orderkey long, o_custkey long")
+    put("part", [(p, f"Brand#{p % 25 + 1}") for p in range(50)], "p_partkey long, p_brand string")
+    put("lineitem", [(c + 7, rng.randrange(50)) for c in range(n) for _ in range(25)], "l_orderkey long, l_partkey long")
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": "8m"}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        found = sorted(map(tuple, searches.parity_kernel_basis(spark, str(tmp_path)).select("custkey", "members", "size", "cancels").collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    con = duckdb.connect()
+    for t in ("customer", "orders", "part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert found == sorted(con.execute(f"SELECT custkey, members, size, cancels FROM ({plans.ORACLE_SQL['parity_kernel_basis']})").fetchall())
+    assert len(found) == n - 25 and sum(size for _, _, size, _ in found) > 400_000
